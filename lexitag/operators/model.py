@@ -31,15 +31,15 @@ def weights(
     if missing or not tag_cols:
         raise ValueError(f"tag columns missing from the learn table: {sorted(missing)}")
     data_cols = [c for c in learn.columns if c not in tag_cols and c != id_col]
-    words = learn.select(F.explode(learn_words(data_cols, tokenizer)).alias("word"), *tag_cols)
+    words = learn.select(F.explode(learn_words(data_cols, tokenizer)).alias("_word"), *tag_cols)
     if not keep_empty:
-        words = words.where("word <> ''")
-    counted = words.groupBy("word", *tag_cols).agg(F.count(F.lit(1)).alias("count"))
-    return sum_weights(unpivot_tags(counted, ["word", "count"], tag_cols))
-
-
-def sum_weights(counted: DataFrame) -> DataFrame:
-    return counted.groupBy("tag", "tag_col", "word").agg(F.sum("count").alias("count"))
+        words = words.where("_word <> ''")
+    counted = words.groupBy("_word", *tag_cols).agg(F.count(F.lit(1)).alias("_count"))
+    return (
+        unpivot_tags(counted, ["_word", "_count"], tag_cols)
+        .groupBy("tag", "tag_col", F.col("_word").alias("word"))
+        .agg(F.sum("_count").alias("count"))
+    )
 
 
 def weights_of_words(words: DataFrame) -> DataFrame:

@@ -20,31 +20,39 @@ def _decided(hits: DataFrame, tag_cols: Sequence[str], quality: Column) -> DataF
     enough = F.col("hits") >= len(tag_cols)
     return hits.select(
         "entry",
-        *[F.when(enough, F.col(f"`{c}`")).alias(c) for c in tag_cols],
-        F.when(enough, quality).otherwise(1).cast("int").alias("TB_qual"),
+        F.when(enough, F.col("tags")).alias("tags"),
+        F.when(enough, quality).otherwise(1).cast("int").alias("qual"),
     )
 
 
+def _per_tag_col(tag_cols: Sequence[str], choose) -> Column:
+    """Struct ``tags`` with one field per tag column: ``choose(condition on tag_col)``."""
+    return F.struct(*[choose(F.col("tag_col") == c).alias(c) for c in tag_cols]).alias("tags")
+
+
 def unique_stage(words: DataFrame, unique: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
-    """(entry, tags, TB_qual) of the rows with a word that has one tag; the largest tag wins.
+    """(entry, tags, qual) of the rows with a word that has one tag; the largest tag wins.
 
     The vocabulary is widened to one row per word first (a word has at most one row per tag
     column there), so a word occurrence meets one row.
     """
     wide = unique.groupBy("word").agg(
         F.count(F.lit(1)).alias("hits"),
-        *[F.max(F.when(F.col("tag_col") == c, F.col("tag"))).alias(c) for c in tag_cols],
+        _per_tag_col(tag_cols, lambda here: F.max(F.when(here, F.col("tag")))),
     )
     hits = (
         lookup_join(words, wide, ["word"], "inner", ["entry"])
         .groupBy("entry")
-        .agg(F.sum("hits").alias("hits"), *[F.max(f"`{c}`").alias(c) for c in tag_cols])
+        .agg(
+            F.sum("hits").alias("hits"),
+            F.struct(*[F.max(f"tags.`{c}`").alias(c) for c in tag_cols]).alias("tags"),
+        )
     )
     return _decided(hits, tag_cols, F.lit(100))
 
 
 def multi_stage(words: DataFrame, multi: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
-    """(entry, tags, TB_qual) from the ambiguous words of a row.
+    """(entry, tags, qual) from the ambiguous words of a row.
 
     Hits are ranked by falling (probability, word); the later a tag first appears, the stronger
     it is, so per tag column the tag with the lowest best hit wins, the larger tag on a tie.
@@ -60,20 +68,14 @@ def multi_stage(words: DataFrame, multi: DataFrame, tag_cols: Sequence[str]) ->
     )
     per_row = of_best.groupBy("entry").agg(
         F.sum("hits").alias("hits"),
-        F.max("best.probability").alias("quality"),
-        *[
-            F.min_by(
-                F.when(F.col("tag_col") == c, F.col("tag")),
-                F.when(F.col("tag_col") == c, F.col("best")),
-            ).alias(c)
-            for c in tag_cols
-        ],
+        F.max("best.probability").alias("probability"),
+        _per_tag_col(tag_cols, lambda here: F.min_by("tag", F.when(here, F.col("best")))),
     )
-    return _decided(per_row, tag_cols, F.col("quality"))
+    return _decided(per_row, tag_cols, F.col("probability"))
 
 
 def similar_stage(rows: DataFrame, unique: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
-    """(entry, tags, TB_qual) from the vocabulary words most similar to a row's words.
+    """(entry, tags, qual) from the vocabulary words most similar to a row's words.
 
     ``rows`` is (entry, words). The best len(tag_cols) candidate rows of a row are ranked by
     falling (similarity, vocabulary word), then word position, tag and tag column. Per tag
@@ -108,13 +110,7 @@ def similar_stage(rows: DataFrame, unique: DataFrame, tag_cols: Sequence[str]) -
     hits = first_seen.groupBy("entry").agg(
         F.sum("hits").alias("hits"),
         F.max("similarity").alias("similarity"),
-        *[
-            F.max_by(
-                F.when(F.col("tag_col") == c, F.col("tag")),
-                F.when(F.col("tag_col") == c, F.col("place")),
-            ).alias(c)
-            for c in tag_cols
-        ],
+        _per_tag_col(tag_cols, lambda here: F.max_by("tag", F.when(here, F.col("place")))),
     )
     return _decided(hits, tag_cols, (F.col("similarity") * 100).cast("int"))
 
@@ -156,10 +152,15 @@ def tag_rows(
     decided = parts[0]
     for part in parts[1:]:
         decided = decided.unionByName(part)
-    decided = decided.withColumnRenamed("entry", id_col)
+    decided = decided.select(
+        F.col("entry").alias(id_col), F.col("tags").alias("_tags"), F.col("qual").alias("_qual")
+    )
     rows = new.drop(*model.tag_cols).join(decided, id_col, "left")
     return rows.select(
         id_col,
-        *[F.col(f"`{c}`") for c in model.columns],
-        F.coalesce("TB_qual", F.lit(0)).alias("TB_qual"),
+        *[
+            F.col(f"_tags.`{c}`" if c in model.tag_cols else f"`{c}`").alias(c)
+            for c in model.columns
+        ],
+        F.coalesce("_qual", F.lit(0)).alias("TB_qual"),
     )

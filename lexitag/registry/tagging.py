@@ -162,7 +162,7 @@ def _new_words(new: str) -> str:
 def _stage_one(tags: list[str]) -> str:
     chosen = ", ".join(f"max(CASE WHEN tag_col = '{t}' THEN tag END) AS {t}" for t in tags)
     return f"""
-    s1 AS (SELECT id, count(*) AS hits, 100 AS quality, {chosen}
+    s1 AS (SELECT id, count(*) AS hits, 100 AS qual, {chosen}
            FROM nw JOIN u USING (word) GROUP BY id)"""
 
 
@@ -175,22 +175,22 @@ def _stage_two(tags: list[str]) -> str:
              (PARTITION BY id ORDER BY probability DESC, word DESC, tag, tag_col) AS place
            FROM nw JOIN m USING (word) WHERE id NOT IN (SELECT id FROM s1)),
     t2 AS (SELECT id, tag, tag_col, min(place) AS place, count(*) AS n,
-                  max(probability) AS quality FROM h2 GROUP BY 1, 2, 3),
-    s2 AS (SELECT id, sum(n) AS hits, max(quality) AS quality, {chosen} FROM t2 GROUP BY id)"""
+                  max(probability) AS qual FROM h2 GROUP BY 1, 2, 3),
+    s2 AS (SELECT id, sum(n) AS hits, max(qual) AS qual, {chosen} FROM t2 GROUP BY id)"""
 
 
 def _result(key: str, text: str, tags: list[str], stages: str) -> str:
     enough = f"hits >= {len(tags)}"
     chosen = ", ".join(f"CASE WHEN {enough} THEN s.{t} END AS {t}" for t in tags)
     return f"""SELECT n.id AS {key}, n.text AS {text}, {chosen},
-            CASE WHEN hits IS NULL THEN 0 WHEN {enough} THEN quality ELSE 1 END::int AS TB_qual
+            CASE WHEN hits IS NULL THEN 0 WHEN {enough} THEN qual ELSE 1 END::int AS TB_qual
         FROM new n LEFT JOIN ({stages}) s ON n.id = s.id"""
 
 
 def _both(tags: list[str]) -> str:
     names = ", ".join(tags)
-    return f"""SELECT id, hits, quality, {names} FROM s1
-        UNION ALL SELECT id, hits, quality, {names} FROM s2"""
+    return f"""SELECT id, hits, qual, {names} FROM s1
+        UNION ALL SELECT id, hits, qual, {names} FROM s2"""
 
 
 _TURNS = "SELECT conv_id || '-' || turn AS id, text FROM conversations"
