@@ -15,7 +15,11 @@ NUMBER = r"(?U)^-?[\d,.]+\z"
 MISSING = "nan"
 # Unicode white space plus the four separator controls, as Python's str.split() sees it.
 WHITE_SPACE = r"(?U)[\s\x1c-\x1f]+"
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# The same characters as a list, for trimming.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def stringify(df: DataFrame, missing: str | None = MISSING, keep: Sequence[str] = ()) -> DataFrame:
@@ -67,7 +71,7 @@ def space_words(text: Column) -> Column:
 
 
 def strip(cell: Column) -> Column:
-    return F.regexp_replace(cell, _EDGE_SPACE, "")
+    return F.trim(cell, F.lit(SPACES))
 
 
 def drop_spaces(cell: Column) -> Column:

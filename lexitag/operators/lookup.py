@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 HOT_SHARE = 0.001  # a key with this share of the rows is split
 HOT_KEYS = 1000  # at most 1 / HOT_SHARE keys can have that share
 SPREAD = 4096  # pieces that a key holding all rows would be split into
@@ -74,8 +74,13 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "inner",
     salt_by: Sequence[str] = (),
+    measured: DataFrame | None = None,
 ) -> DataFrame:
-    """Join rows with a table kept on disk: broadcast if it measures small, else salted."""
-    if fits_broadcast(right):
+    """Join rows with a smaller table: broadcast if that measures small, else salted.
+
+    ``measured`` is a kept table that ``right`` is derived from and is no larger than; it is
+    measured in place of ``right``, which then is computed only once.
+    """
+    if fits_broadcast(right if measured is None else measured):
         return left.join(F.broadcast(right), list(keys), how)
     return salted_join(left, right, keys, how, salt_by)

@@ -151,7 +151,7 @@ def fill_columns(
     wide = fill.groupBy(F.col("Tag").alias(tag)).agg(
         *[F.max(F.when(F.col("Col") == c, F.col("Val"))).alias(f"_fill_{c}") for c in cols]
     )
-    joined = lookup_join(rows, wide, [tag], "left", [id_col])
+    joined = lookup_join(rows, wide, [tag], "left", [id_col], measured=fill)
 
     def filled(name: str) -> Column:
         cell = F.col(f"`{name}`")

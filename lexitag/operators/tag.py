@@ -41,7 +41,7 @@ def unique_stage(words: DataFrame, unique: DataFrame, tag_cols: Sequence[str]) -
         _per_tag_col(tag_cols, lambda here: F.max(F.when(here, F.col("tag")))),
     )
     hits = (
-        lookup_join(words, wide, ["word"], "inner", ["entry"])
+        lookup_join(words, wide, ["word"], "inner", ["entry"], measured=unique)
         .groupBy("entry")
         .agg(
             F.sum("hits").alias("hits"),

@@ -79,34 +79,49 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str =
     return spark.read.text(paths).select(F.concat(raw, F.lit("\n")).alias("line"))
 
 
-def _row_of(kind: Kind, line: Column) -> Column:
-    """The typed row that ``line`` gives under ``kind``, else null."""
+def _fields_of(kind: Kind, line: Column) -> Column:
+    """What ``kind`` takes from ``line``, in the order of ``_typed``; null where it does not match."""
     pattern = "(?Us)^" + kind.pattern
-    groups = [kind.centre, *kind.text, kind.value, kind.date, kind.year, kind.reference]
-    groups += [kind.cost_type] if kind.cost_type else []
-    fields = F.split(
-        F.regexp_replace(line, pattern + ".*$", _MARK.join(f"${g}" for g in groups)), _MARK
-    )
-    cell = {g: tx.strip(fields[i]) for i, g in enumerate(groups)}
-    row = F.struct(
-        F.lit(kind.art).alias("Art"),
-        cell[kind.centre].alias("Kostenstelle"),
-        tx.none_to_empty(F.upper(F.concat_ws(" ", *[cell[g] for g in kind.text]))).alias("Text"),
-        (cell[kind.cost_type] if kind.cost_type else F.lit("")).alias("Kostenart"),
-        tx.amount(cell[kind.value]).alias("Betrag"),
-        tx.day(cell[kind.date]).alias("Datum"),
-        cell[kind.year].alias("Jahr"),
-        cell[kind.reference].alias("Referenz"),
-    )
-    digits = cell[kind.centre].rlike(r"^[\p{Nd}²³¹]+\z")
-    return F.when(line.rlike(pattern) & digits, row)
+    groups = (kind.centre, kind.value, kind.date, kind.year, kind.reference)
+    cost_type = f"${kind.cost_type}" if kind.cost_type else ""
+    taken = [kind.art, *(f"${g}" for g in groups), cost_type, *(f"${g}" for g in kind.text)]
+    row = F.regexp_replace(line, pattern + ".*$", _MARK.join(taken))
+    return F.when(line.rlike(pattern), F.split(row, _MARK))
+
+
+def _typed(fields: Column) -> dict[str, Column]:
+    def cell(place: int) -> Column:
+        return tx.strip(fields[place])
+
+    text = F.transform(F.slice(fields, 8, F.size(fields)), tx.strip)
+    return {
+        "Art": fields[0],
+        "Kostenstelle": cell(1),
+        "Text": tx.none_to_empty(F.upper(F.array_join(text, " "))),
+        "Kostenart": cell(6),
+        "Betrag": tx.amount(fields[2]),
+        "Datum": tx.day(fields[3]),
+        "Jahr": cell(4),
+        "Referenz": cell(5),
+    }
 
 
 def parse_report(lines: DataFrame, layout: str = "current", keep: Sequence[str] = ()) -> DataFrame:
-    """(line) -> typed rows, with the columns ``keep`` of ``lines`` in front. No shuffle."""
-    found = F.array_compact(F.array(*[_row_of(k, F.col("line")) for k in kinds(layout)]))
-    rows = lines.where(F.col("line").startswith("|")).select(*keep, F.explode(found).alias("_row"))
-    rows = rows.select(*keep, "_row.*")
+    """(line) -> typed rows, with the columns ``keep`` of ``lines`` in front. No shuffle.
+
+    Each pattern runs over a line once; the groups of a match come out of one replacement.
+    """
+    line = F.col("line")
+    matched = lines.where(line.startswith("|")).select(
+        *keep, *[_fields_of(k, line).alias(f"_kind{i}") for i, k in enumerate(kinds(layout))]
+    )
+    found = F.array_compact(F.array(*[c for c in matched.columns if c not in keep]))
+    fields = F.col("_fields")
+    rows = (
+        matched.select(*keep, F.explode(found).alias("_fields"))
+        .where(tx.strip(fields[1]).rlike(r"^[\p{Nd}²³¹]+\z"))
+        .select(*keep, *[c.alias(n) for n, c in _typed(fields).items()])
+    )
     if layout == "legacy":
         rows = rows.withColumns({c: F.lit(v) for c, v in LEGACY_CONSTANTS.items()})
     return rows.select(*keep, *COLUMNS[layout])
