@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitag.functions import text as tx
-from lexitag.operators.lookup import salted_join
+from lexitag.operators.lookup import hot_keys, salted_join
 
 
 def _upper_keys(columns: Sequence[str]) -> dict[str, Column]:
@@ -30,11 +30,12 @@ def split_existing(new: DataFrame, learn: DataFrame, id_col: str) -> tuple[DataF
     keyed = learn.withColumns(keys)
     first = keyed.groupBy(*keys).agg(F.min_by(F.struct(*learn_columns), id_col).alias("_row"))
     asked = new.select(id_col, *[k.alias(n) for n, k in keys.items()])
-    old = salted_join(asked, first, list(keys), "inner", [id_col]).select(
+    hot = hot_keys(asked, list(keys))
+    old = salted_join(asked, first, list(keys), "inner", [id_col], hot).select(
         id_col, "_row.*", F.lit("OLD").alias("TB_edit"), F.lit(100).alias("TB_qual")
     )
     known = keyed.select(*keys).distinct()
-    rest = salted_join(new.withColumns(keys), known, list(keys), "left_anti", [id_col])
+    rest = salted_join(new.withColumns(keys), known, list(keys), "left_anti", [id_col], hot)
     return old, rest.select(new.columns)
 
 
@@ -70,14 +71,15 @@ def split_existing_normalised(
     values = F.struct(*[filled(c).alias(c) for c in fill])
     first = keyed.groupBy(*names).agg(F.min_by(values, id_col).alias("_row"))
     asked = new.withColumns(new_keys)
-    old = salted_join(asked, first, names, "inner", [id_col]).select(
+    hot = hot_keys(asked, names)
+    old = salted_join(asked, first, names, "inner", [id_col], hot).select(
         id_col,
         *[F.col(f"_row.`{c}`") if c in fill else F.col(f"`{c}`") for c in new.columns if c != id_col],
         F.lit("OLD").alias("Edit"),
         F.lit(1.0).alias("Quality"),
     )
     known = keyed.select(*names).distinct()
-    rest = salted_join(asked, known, names, "left_anti", [id_col]).select(
+    rest = salted_join(asked, known, names, "left_anti", [id_col], hot).select(
         *new.columns, F.lit("").alias("Edit")
     )
     tags = keyed.groupBy(*names).agg(F.min(tag).alias("_low"), F.max(tag).alias("_high"))

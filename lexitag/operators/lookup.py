@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
-HOT_SHARE = 0.001  # a key with this share of the rows is split
+HOT_SHARE = 0.001  # a key with this share of the rows is split ...
+HOT_ROWS = 100_000  # ... if it has this many rows
 HOT_KEYS = 1000  # at most 1 / HOT_SHARE keys can have that share
 SPREAD = 4096  # pieces that a key holding all rows would be split into
 
@@ -21,22 +23,23 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (size or 0) <= limit
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(``_hash``, ``_pieces``) of the keys that hold at least HOT_SHARE of the rows.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[tuple[int, int]]:
+    """(key hash, pieces) of the keys that hold at least HOT_SHARE and HOT_ROWS of the rows.
 
-    One sketch aggregate: no shuffle by key, and never more than HOT_KEYS rows.
+    One sketch aggregate: no shuffle by key, one row back, never more than HOT_KEYS keys.
     It only decides which keys are split, so its approximation cannot change a join's result.
     """
-    tracked = df.select(F.xxhash64(*keys).alias("_hash")).agg(
-        F.expr(f"approx_top_k(_hash, {HOT_KEYS}, {10 * HOT_KEYS})").alias("top"),
-        F.count(F.lit(1)).alias("total"),
-    )
-    share = F.col("top.count") / F.col("total")
-    return (
-        tracked.select("total", F.explode("top").alias("top"))
-        .where(share >= HOT_SHARE)
-        .select(F.col("top.item").alias("_hash"), F.ceil(share * SPREAD).cast("int").alias("_pieces"))
+    found = (
+        df.select(F.xxhash64(*keys).alias("_hash"))
+        .agg(
+            F.expr(f"approx_top_k(_hash, {HOT_KEYS}, {10 * HOT_KEYS})").alias("top"),
+            F.count(F.lit(1)).alias("total"),
+        )
+        .first()
     )
+    least = max(HOT_ROWS, HOT_SHARE * found["total"])
+    top = [(r["item"], r["count"]) for r in found["top"] or [] if r["count"] >= least]
+    return [(item, ceil(count / found["total"] * SPREAD)) for item, count in top]
 
 
 def salted_join(
@@ -45,23 +48,30 @@ def salted_join(
     keys: Sequence[str],
     how: str = "inner",
     salt_by: Sequence[str] = (),
+    hot: list[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Equi-join on ``keys`` with the hot keys of ``left`` split by the columns ``salt_by``.
 
     Rows of ``right`` with a hot key are repeated once per piece. ``how`` is inner, left,
     left_semi or left_anti: every left row meets the right rows of its key in its own piece.
+    ``hot`` takes the hot keys where they are known; without any this is a plain join.
     """
-    hot = F.broadcast(hot_keys(left, keys))
+    keys = list(keys)
+    hot = hot_keys(left, keys) if hot is None else hot
+    if not hot:
+        return left.join(right, keys, how)
+    spark = left.sparkSession
+    listed = F.broadcast(spark.createDataFrame(hot, "_hash long, _pieces int"))
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     salted = (
         left.withColumn("_hash", F.xxhash64(*keys))
-        .join(hot, "_hash", "left")
+        .join(listed, "_hash", "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*salt_by), pieces).cast("int"))
         .drop("_hash", "_pieces")
     )
     repeated = (
         right.withColumn("_hash", F.xxhash64(*keys))
-        .join(hot, "_hash", "left")
+        .join(listed, "_hash", "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .drop("_hash", "_pieces")
     )

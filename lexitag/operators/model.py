@@ -55,19 +55,25 @@ def probabilities(weights: DataFrame) -> DataFrame:
     several tag columns among them is rated in the first of these columns only, the rest stay
     100.
     """
-    of_word = weights.groupBy("word").agg(
-        F.min(F.struct("tag", "tag_col", "count")).alias("first"),
-        F.sum("count").alias("total"),
-        F.count(F.lit(1)).alias("rows"),
+    of_word = (
+        weights.groupBy("word")
+        .agg(
+            F.min(F.struct("tag", "tag_col", "count")).alias("first"),
+            F.sum("count").alias("total"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        .where("rows >= 3")  # the words in which anything is rated: a small share
     )
-    # at most one row per tag column in each of these windows
-    in_tag = Window.partitionBy("word", "tag").orderBy("tag_col")
-    placed = weights.withColumn("place", F.row_number().over(in_tag))
     same_tag = F.col("tag") == F.col("first.tag")
     is_first = same_tag & (F.col("tag_col") == F.col("first.tag_col"))
-    rated = ~is_first & (F.col("rows") >= 3) & (F.col("place") - same_tag.cast("int") == 1)
     share = F.col("count").cast("double") / (F.col("total") - F.col("first.count")) * 100
-    return salted_join(placed, of_word, ["word"], "inner", ["tag", "tag_col"]).select(
+    rated = F.col("rows").isNotNull() & ~is_first
+    if _tags_shared(weights):
+        # the place of a row among the rows of its word and tag: at most one per tag column
+        in_tag = Window.partitionBy("word", "tag").orderBy("tag_col")
+        weights = weights.withColumn("place", F.row_number().over(in_tag))
+        rated = rated & (F.col("place") - same_tag.cast("int") == 1)
+    return salted_join(weights, of_word, ["word"], "left", ["tag", "tag_col"]).select(
         "tag",
         "tag_col",
         "word",
@@ -76,6 +82,12 @@ def probabilities(weights: DataFrame) -> DataFrame:
     )
 
 
+def _tags_shared(weights: DataFrame) -> bool:
+    """Does some tag name occur in more than one tag column? (one boolean comes back)"""
+    columns = weights.groupBy("tag").agg((F.min("tag_col") < F.max("tag_col")).alias("shared"))
+    return bool(columns.agg(F.bool_or("shared").alias("any")).first()["any"])
+
+
 def ambiguous_words(probabilities: DataFrame) -> DataFrame:
     """Words with more than one probability row and the number of these rows."""
     counted = probabilities.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
@@ -99,7 +111,12 @@ def unique_words(probabilities: DataFrame) -> DataFrame:
 
 def multi_words(probabilities: DataFrame) -> DataFrame:
     """All but the smallest tag of every (word, tag column)."""
-    lowest = probabilities.groupBy("word", "tag_col").agg(F.min("tag").alias("lowest"))
+    lowest = (
+        probabilities.groupBy("word", "tag_col")
+        .agg(F.min("tag").alias("lowest"), F.count(F.lit(1)).alias("rows"))
+        .where("rows > 1")
+        .drop("rows")
+    )
     joined = salted_join(probabilities, lowest, ["word", "tag_col"], "inner", ["tag"])
     return joined.where(F.col("tag") > F.col("lowest")).select(
         "tag", "tag_col", "word", "count", "probability"
