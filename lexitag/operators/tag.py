@@ -125,7 +125,7 @@ def tag_rows(
 
     A row is decided in the first stage that finds a hit for it. A row without any hit keeps
     null tags and TB_qual 0. What a stage decided is kept (one narrow row per decided row), as
-    both the next stage and the result read it.
+    both the next stage and the result read it; so are the rows it left open.
     """
     columns = [c for c in new.columns if c != id_col]
     lookups = {
@@ -147,7 +147,8 @@ def tag_rows(
         if name != stages[-1]:
             part = keep(part)
             done = part.select(F.col("entry").alias(id_col))
-            open_rows = open_rows.join(done, id_col, "left_anti")
+            # the rows still open are few: later stages must not shuffle all rows again
+            open_rows = keep(open_rows.join(done, id_col, "left_anti"))
         parts.append(part)
     decided = parts[0]
     for part in parts[1:]:
