@@ -54,11 +54,30 @@ def unique_stage(words: DataFrame, unique: DataFrame, tag_cols: Sequence[str]) -
 def multi_stage(words: DataFrame, multi: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
     """(entry, tags, qual) from the ambiguous words of a row.
 
+    A word brings a row per tag it occurs with, so the work is done once per set of ambiguous
+    words: rows with the same set, as all copies of a row have, share one result. Words hold no
+    space, so the sorted words joined by spaces stand for the set.
+    """
+    ambiguous = multi.select("word").distinct()
+    known = lookup_join(words, ambiguous, ["word"], "left_semi", ["entry"], measured=multi)
+    sets = keep(
+        known.groupBy("entry")
+        .agg(F.array_sort(F.collect_list("word")).alias("words"))
+        .select("entry", F.array_join("words", " ").alias("words"))
+    )
+    decided = keep(_decided_sets(sets.select("words").distinct(), multi, tag_cols))
+    return lookup_join(sets, decided, ["words"], "inner", ["entry"]).select("entry", "tags", "qual")
+
+
+def _decided_sets(sets: DataFrame, multi: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
+    """(words) -> (words, tags, qual).
+
     Hits are ranked by falling (probability, word); the later a tag first appears, the stronger
     it is, so per tag column the tag with the lowest best hit wins, the larger tag on a tie.
-    TB_qual is the highest probability of the row. All three aggregates share one shuffle.
+    The quality is the highest probability. All three aggregates share one shuffle.
     """
     looked_up = multi.select("word", "tag_col", "tag", "probability")
+    words = sets.select(F.col("words").alias("entry"), F.explode(F.split("words", " ")).alias("word"))
     hits = lookup_join(words, looked_up, ["word"], "inner", ["entry"]).repartition("entry")
     best_of_tag = hits.groupBy("entry", "tag_col", "tag").agg(
         F.max(F.struct("probability", "word")).alias("best"), F.count(F.lit(1)).alias("hits")
@@ -66,12 +85,13 @@ def multi_stage(words: DataFrame, multi: DataFrame, tag_cols: Sequence[str]) ->
     of_best = best_of_tag.groupBy("entry", "tag_col", "best").agg(
         F.max("tag").alias("tag"), F.sum("hits").alias("hits")
     )
-    per_row = of_best.groupBy("entry").agg(
+    per_set = of_best.groupBy("entry").agg(
         F.sum("hits").alias("hits"),
         F.max("best.probability").alias("probability"),
         _per_tag_col(tag_cols, lambda here: F.min_by("tag", F.when(here, F.col("best")))),
     )
-    return _decided(per_row, tag_cols, F.col("probability"))
+    decided = _decided(per_set, tag_cols, F.col("probability"))
+    return decided.withColumnRenamed("entry", "words")
 
 
 def similar_stage(rows: DataFrame, unique: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
