@@ -1,9 +1,9 @@
 """Word/tag counts, probabilities and the two vocabularies.
 
 Counts are aggregated before they are unpivoted, so the shuffle carries one row per
-(word, tag combination) and task whatever the number of tag columns. Every statistic of a
-word is an aggregate with map-side combine joined back, not a window over the word's rows:
-a word that occurs with nearly all tags does not end up in one task.
+(word, tag combination) and task whatever the number of tag columns. The statistics of a word
+are aggregates with map-side combine joined back, not windows over the word's rows: a word that
+occurs with nearly all tags does not end up in one task.
 """
 
 from __future__ import annotations
@@ -47,28 +47,38 @@ def weights_of_words(words: DataFrame) -> DataFrame:
     return words.groupBy("tag", "tag_col", "word").agg(F.count("entry").alias("count"))
 
 
-def probabilities(weights: DataFrame) -> DataFrame:
-    """Weights + probability 0..100 of the tag given the word.
+def rate_words(weights: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
+    """Weights + probability 0..100 of the tag given the word, + ``tags`` and ``lowest``: number
+    of tags and smallest tag of the word in that tag column, which tell the vocabularies apart.
 
     The rows of a word are taken in (tag, tag_col) order. The first keeps 100. With three or
     more rows, each later row gets its share of the later rows' counts; a tag that occurs in
     several tag columns among them is rated in the first of these columns only, the rest stay
     100.
+
+    One aggregate per word and one join back serve all of it. Words with at most one tag per
+    tag column and fewer than three rows, the great majority, stay out of the joined side.
     """
+    in_col = {c: F.col("tag_col") == c for c in tag_cols}
+    counts = {c: F.count(F.when(here, 1)) for c, here in in_col.items()}
+    lows = {c: F.min(F.when(here, F.col("tag"))) for c, here in in_col.items()}
     of_word = (
         weights.groupBy("word")
         .agg(
             F.min(F.struct("tag", "tag_col", "count")).alias("first"),
             F.sum("count").alias("total"),
             F.count(F.lit(1)).alias("rows"),
+            F.array(*counts.values()).alias("col_rows"),
+            F.array(*lows.values()).alias("col_lows"),
         )
-        .where("rows >= 3")  # the words in which anything is rated: a small share
+        .where((F.col("rows") >= 3) | F.exists("col_rows", lambda n: n > 1))
     )
+    place_of_col = F.array_position(F.lit(list(tag_cols)), F.col("tag_col")).cast("int")
     same_tag = F.col("tag") == F.col("first.tag")
     is_first = same_tag & (F.col("tag_col") == F.col("first.tag_col"))
     share = F.col("count").cast("double") / (F.col("total") - F.col("first.count")) * 100
-    rated = F.col("rows").isNotNull() & ~is_first
-    if _tags_shared(weights):
+    rated = (F.col("rows") >= 3) & ~is_first
+    if len(tag_cols) > 1 and _tags_shared(weights):
         # the place of a row among the rows of its word and tag: at most one per tag column
         in_tag = Window.partitionBy("word", "tag").orderBy("tag_col")
         weights = weights.withColumn("place", F.row_number().over(in_tag))
@@ -79,9 +89,18 @@ def probabilities(weights: DataFrame) -> DataFrame:
         "word",
         "count",
         F.when(rated, F.rint(share).cast("int")).otherwise(100).alias("probability"),
+        F.coalesce(F.get("col_rows", place_of_col - 1), F.lit(1)).alias("tags"),
+        F.coalesce(F.get("col_lows", place_of_col - 1), "tag").alias("lowest"),
     )
 
 
+VOCABULARY = ["tag", "tag_col", "word", "count", "probability"]
+
+
+def probabilities(weights: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
+    return rate_words(weights, tag_cols).select(VOCABULARY)
+
+
 def _tags_shared(weights: DataFrame) -> bool:
     """Does some tag name occur in more than one tag column? (one boolean comes back)"""
     columns = weights.groupBy("tag").agg((F.min("tag_col") < F.max("tag_col")).alias("shared"))
@@ -94,33 +113,14 @@ def ambiguous_words(probabilities: DataFrame) -> DataFrame:
     return counted.where(F.col("count") > 1)
 
 
-def unique_words(probabilities: DataFrame) -> DataFrame:
+def unique_words(rated: DataFrame) -> DataFrame:
     """Rows of words with exactly one tag in a tag column."""
-    return (
-        probabilities.groupBy("word", "tag_col")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.min("tag").alias("tag"),
-            F.min("count").alias("count"),
-            F.min("probability").alias("probability"),
-        )
-        .where("rows = 1")
-        .select("tag", "tag_col", "word", "count", "probability")
-    )
+    return rated.where("tags = 1").select(VOCABULARY)
 
 
-def multi_words(probabilities: DataFrame) -> DataFrame:
+def multi_words(rated: DataFrame) -> DataFrame:
     """All but the smallest tag of every (word, tag column)."""
-    lowest = (
-        probabilities.groupBy("word", "tag_col")
-        .agg(F.min("tag").alias("lowest"), F.count(F.lit(1)).alias("rows"))
-        .where("rows > 1")
-        .drop("rows")
-    )
-    joined = salted_join(probabilities, lowest, ["word", "tag_col"], "inner", ["tag"])
-    return joined.where(F.col("tag") > F.col("lowest")).select(
-        "tag", "tag_col", "word", "count", "probability"
-    )
+    return rated.where("tag > lowest").select(VOCABULARY)
 
 
 @dataclass
@@ -142,16 +142,19 @@ def train(
     tokenizer: str = "row",
     keep_empty: bool = True,
 ) -> TagModel:
-    """Learn from ``learn`` (all cells text, one row key). Each table is computed once."""
+    """Learn from ``learn`` (all cells text, one row key).
+
+    Two tables are kept: the counts, and the rated words that the vocabularies are filters of.
+    """
     counted = keep(weights(learn, id_col, tag_cols, tokenizer, keep_empty))
-    rated = keep(probabilities(counted))
+    rated = keep(rate_words(counted, tag_cols))
     return TagModel(
         columns=[c for c in learn.columns if c != id_col],
         tag_cols=list(tag_cols),
         weights=counted,
-        probabilities=rated,
-        unique=keep(unique_words(rated)),
-        multi=keep(multi_words(rated)),
+        probabilities=rated.select(VOCABULARY),
+        unique=unique_words(rated),
+        multi=multi_words(rated),
     )
 
 

@@ -185,3 +185,18 @@ def tag_rows(
         ],
         F.coalesce("_qual", F.lit(0)).alias("TB_qual"),
     )
+
+
+def tag_summary(old: DataFrame, tagged: DataFrame) -> DataFrame:
+    """One row of counts: input, known, new, tagged, unclear (quality 1) and untagged rows."""
+    known = old.agg(F.count(F.lit(1)).alias("known"))
+    quality = F.col("TB_qual")
+    new = tagged.agg(
+        F.count(F.lit(1)).alias("new"),
+        F.count(F.when(quality > 1, 1)).alias("tagged"),
+        F.count(F.when(quality == 1, 1)).alias("unclear"),
+        F.count(F.when(quality == 0, 1)).alias("untagged"),
+    )
+    return new.withColumn("known", known.scalar()).select(
+        (F.col("known") + F.col("new")).alias("input"), "known", "new", "tagged", "unclear", "untagged"
+    )

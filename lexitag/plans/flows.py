@@ -49,12 +49,12 @@ def train_from_files(
     if with_words:
         stored(store.WORDS, lambda: word_table(learn, "entry", tag_cols))
     weights = stored(store.WEIGHTS, lambda: md.weights(learn, "entry", tag_cols))
-    rated = stored(store.PROBABILITIES, lambda: md.probabilities(weights))
+    rated = stored(store.PROBABILITIES, lambda: md.rate_words(weights, tag_cols))
     model = md.TagModel(
         columns=columns,
         tag_cols=list(tag_cols),
         weights=weights,
-        probabilities=rated,
+        probabilities=rated.select(md.VOCABULARY),
         multi=stored(store.MULTI, lambda: md.multi_words(rated)),
         unique=stored(store.UNIQUE, lambda: md.unique_words(rated)),
     )
@@ -70,7 +70,7 @@ def load_model(spark: SparkSession, folder: str) -> md.TagModel:
         columns=[r["data_col_names"] for r in names],
         tag_cols=[r["data_col_names"] for r in names if r["is_tag"]],
         weights=weights,
-        probabilities=rated,
+        probabilities=rated.select(md.VOCABULARY),
         unique=unique,
         multi=multi,
     )
@@ -118,8 +118,8 @@ class Cascade:
 
     relevance: DataFrame
     tags: DataFrame
-    columns: DataFrame
-    fill: DataFrame
+    columns: DataFrame | None
+    fill: DataFrame | None
     fill_cols: list[str]
 
 
@@ -144,6 +144,31 @@ def learn_cascade(
     )
 
 
+def save_cascade(vocabularies: Cascade, folder: str) -> None:
+    names = store.LEGACY
+    store.save_table(vocabularies.relevance, folder, names["relevance"])
+    store.save_table(vocabularies.tags, folder, names["tags"])
+    if vocabularies.columns is not None:
+        store.save_column_tags(vocabularies.columns, folder)
+    if vocabularies.fill is not None:
+        store.save_table(vocabularies.fill, folder, names["fill"])
+
+
+def load_cascade(spark: SparkSession, folder: str) -> Cascade:
+    def optional(name: str) -> DataFrame | None:
+        there = store.has_table(spark, folder, store.LEGACY[name])
+        return store.load_table(spark, folder, store.LEGACY[name]) if there else None
+
+    fill = optional("fill")
+    return Cascade(
+        relevance=store.load_table(spark, folder, store.LEGACY["relevance"]),
+        tags=store.load_table(spark, folder, store.LEGACY["tags"]),
+        columns=optional("columns"),
+        fill=fill,
+        fill_cols=store.fill_column_names(fill) if fill is not None else [],
+    )
+
+
 def run_cascade(
     learn: DataFrame, new: DataFrame, vocabularies: Cascade, id_col: str, by_column: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -91,11 +91,13 @@ def legacy_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legacy_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as a legacy learn table with one-word texts; nations are tags, nation 0 is 'y'."""
     nation = F.col("s_nationkey").cast("string")
-    return table(spark, sf_dir, "supplier").select(
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    suppliers = table(spark, sf_dir, "supplier")
+    return suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
         F.col("s_suppkey").alias("id"),
         F.when(nation == "0", "y").otherwise(nation).alias("Tag"),
         F.col("s_name").alias("Text"),
-        F.concat(F.lit("R"), (F.col("s_nationkey") % 5).cast("string")).alias("region"),
+        F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("region"),
     )
 
 

@@ -51,33 +51,34 @@ def weights_filled(spark, sf_dir):
     return md.weights(rows, "doc_id", DOCUMENT_TAGS, keep_empty=False)
 
 
-def _part_probabilities(spark, sf_dir):
-    return md.probabilities(keep(md.weights(inputs.part_rows(spark, sf_dir), "p_partkey", PART_TAGS)))
+def _rated_parts(spark, sf_dir):
+    rows = inputs.part_rows(spark, sf_dir)
+    return md.rate_words(keep(md.weights(rows, "p_partkey", PART_TAGS)), PART_TAGS)
 
 
-def _document_probabilities(spark, sf_dir):
+def _rated_documents(spark, sf_dir):
     rows = inputs.document_rows(spark, sf_dir)
-    return md.probabilities(keep(md.weights(rows, "doc_id", DOCUMENT_TAGS)))
+    return md.rate_words(keep(md.weights(rows, "doc_id", DOCUMENT_TAGS)), DOCUMENT_TAGS)
 
 
 def probabilities(spark, sf_dir):
-    return _part_probabilities(spark, sf_dir)
+    return _rated_parts(spark, sf_dir).select(md.VOCABULARY)
 
 
 def probabilities_documents(spark, sf_dir):
-    return _document_probabilities(spark, sf_dir)
+    return _rated_documents(spark, sf_dir).select(md.VOCABULARY)
 
 
 def ambiguous_words(spark, sf_dir):
-    return md.ambiguous_words(_part_probabilities(spark, sf_dir))
+    return md.ambiguous_words(_rated_parts(spark, sf_dir))
 
 
 def unique_words(spark, sf_dir):
-    return md.unique_words(_document_probabilities(spark, sf_dir))
+    return md.unique_words(_rated_documents(spark, sf_dir))
 
 
 def multi_words(spark, sf_dir):
-    return md.multi_words(keep(_part_probabilities(spark, sf_dir)))
+    return md.multi_words(_rated_parts(spark, sf_dir))
 
 
 def vocabulary_summary(spark, sf_dir):

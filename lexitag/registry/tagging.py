@@ -8,11 +8,13 @@ from lexitag.functions import text as tx
 from lexitag.operators import clean, legacy, ngrams, profile, similar
 from lexitag.operators import model as md
 from lexitag.operators.lasting import keep
+from lexitag.operators.existing import split_existing
 from lexitag.operators.tag import tag_rows as tag
+from lexitag.operators.tag import tag_summary as summary
 from lexitag.plans import flows
 from lexitag.registry import inputs
 from lexitag.registry import learning as ln
-from lexitag.registry.cleaning import _COLUMN_TAGS, _flagged_orders
+from lexitag.registry.cleaning import _COLUMN_TAGS, _MATCH, _flagged_orders, _match_tables
 
 
 def tag_unique(spark, sf_dir):
@@ -44,8 +46,16 @@ def tag_labels(spark, sf_dir):
     return tag(inputs.unlabelled_documents(spark, sf_dir), model, "doc_id", ("unique", "multi"))
 
 
+def tag_summary(spark, sf_dir):
+    """Row counts of a whole run: known part rows and newly tagged ones."""
+    new, learn = _match_tables(spark, sf_dir)
+    old, rest = split_existing(new, learn, "p_partkey")
+    model = md.train(learn, "p_partkey", ln.PART_TAGS)
+    return summary(old, tag(rest, model, "p_partkey", ("unique", "multi")))
+
+
 def tag_rows(spark, sf_dir):
-    """The same with all three stages."""
+    """Quality and toxicity of unlabelled documents, all three stages."""
     model = md.train(inputs.labelled_documents(spark, sf_dir), "doc_id", ln.LABEL_TAGS)
     return tag(inputs.unlabelled_documents(spark, sf_dir), model, "doc_id")
 
@@ -133,6 +143,7 @@ QUERIES = {
         tag_multi,
         result_columns,
         tag_labels,
+        tag_summary,
         tag_rows,
         tag_customers,
         similar_words,
@@ -228,6 +239,17 @@ ORACLES = {
     "tag_labels": f"""WITH {ln.LABEL_W}, {_MODEL}, {_new_words(_UNLABELLED)},
         {_stage_one(ln.LABEL_TAGS)}, {_stage_two(ln.LABEL_TAGS)}
         {_result("doc_id", "text", ln.LABEL_TAGS, _both(ln.LABEL_TAGS))}""",
+    # new rows here keep filled tag cells, and these count as words as well
+    "tag_summary": f"""WITH {ln.PART_W}, {_MODEL}, {_MATCH.replace("new AS", "input AS")},
+        {_new_words("""SELECT p_partkey AS id, p_name || ' ' || p_type || ' ' || p_brand AS text
+                       FROM input WHERE k NOT IN (SELECT k FROM learn)""")},
+        {_stage_one(ln.PART_TAGS)}, {_stage_two(ln.PART_TAGS)},
+        r AS ({_result("id", "text", ln.PART_TAGS, _both(ln.PART_TAGS))})
+        SELECT (SELECT count(*) FROM input) AS input,
+               (SELECT count(*) FROM input WHERE k IN (SELECT k FROM learn)) AS known,
+               count(*) AS new, count(*) FILTER (TB_qual > 1) AS tagged,
+               count(*) FILTER (TB_qual = 1) AS unclear,
+               count(*) FILTER (TB_qual = 0) AS untagged FROM r""",
     "tag_relevance": f"""WITH {ln.RELEVANCE_SQL}, {_NGRAM_HITS}, {_hits("rel")}
         SELECT doc_id, CASE WHEN result = 'not_relevant' AND NOT conflict THEN 'y' ELSE '' END AS Tag,
             Text, '' AS source, CASE WHEN conflict THEN 'NEW' ELSE '' END AS Edit,

@@ -3,7 +3,6 @@ from difflib import SequenceMatcher, get_close_matches
 from lexitag.operators import legacy, ngrams, profile
 from lexitag.operators.existing import split_existing_normalised
 from lexitag.plans import flows
-from lexitag.sources import store
 
 LEARN = [
     (1, "y", "GYM FEE", "g1", "A"),
@@ -163,7 +162,11 @@ def test_cascade(spark, tmp_path):
     learn = rows(spark, [(i + 100, *r[1:]) for i, r in enumerate(LEARN)] + [(90 + i, "it", f"EXTRA{i} W", "g2", "B") for i in range(3)])
     new = new_rows(spark, "laptop  fee", "GYM zz", "BLUE zz", "BOKS DELL SHEETZ", "")
     vocab = flows.learn_cascade(learn, new, "id")
-    store.save_table(vocab.fill, str(tmp_path), store.LEGACY["fill"]) if vocab.fill is not None else None
+    flows.save_cascade(vocab, str(tmp_path))
+    loaded = flows.load_cascade(spark, str(tmp_path))
+    assert loaded.fill_cols == sorted(vocab.fill_cols)
+    assert loaded.tags.count() == vocab.tags.count()
+    assert (loaded.columns is None) == (vocab.columns is None)
     old, tagged, conflicts = flows.run_cascade(learn, new, vocab, "id", by_column=True)
     assert [(r["id"], r["Tag"], r["Edit"]) for r in old.collect()] == [(0, "it", "OLD")]
     got = {r["id"]: r for r in tagged.collect()}

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from lexitag.functions.ratio import Block, best_matches
 from lexitag.operators import lookup, similar
 from lexitag.operators.existing import split_existing
-from lexitag.operators.model import TagModel, probabilities, multi_words, train, unique_words
+from lexitag.operators.model import TagModel, multi_words, rate_words, train, unique_words
 from lexitag.operators.tag import similar_stage, tag_rows
 from test_words import GOLDEN
 
 
 def golden_model(spark):
     weights = spark.createDataFrame(GOLDEN, "tag string, tag_col string, word string, count long")
-    rated = probabilities(weights)
+    rated = rate_words(weights, ["t"])
     return TagModel(["text", "t"], ["t"], weights, rated, unique_words(rated), multi_words(rated))
 
 

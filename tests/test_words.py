@@ -92,13 +92,13 @@ def golden(spark):
 
 
 def test_probabilities(golden):
-    got = {(r["tag"], r["word"]): r["probability"] for r in md.probabilities(golden).collect()}
+    got = {(r["tag"], r["word"]): r["probability"] for r in md.probabilities(golden, ["t"]).collect()}
     assert got == {("a", "w"): 100, ("b", "w"): 25, ("c", "w"): 75, ("a", "x"): 100,
                    ("b", "x"): 100, ("a", "y"): 100}
 
 
 def test_vocabularies(golden):
-    rated = md.probabilities(golden)
+    rated = md.rate_words(golden, ["t"])
     assert [(r["tag"], r["word"]) for r in md.unique_words(rated).collect()] == [("a", "y")]
     multi = sorted((r["tag"], r["word"]) for r in md.multi_words(rated).collect())
     assert multi == [("b", "w"), ("b", "x"), ("c", "w")]
@@ -129,7 +129,7 @@ def test_probabilities_with_shared_tag_names(spark):
     keys = {(random.choice("abcd"), random.choice("pqr"), random.choice("uvwxyz")) for _ in range(60)}
     rows = [(*k, random.randint(1, 9)) for k in sorted(keys)]
     df = spark.createDataFrame(rows, "tag string, tag_col string, word string, count long")
-    got = {(r["tag"], r["tag_col"], r["word"], r["count"]): r["probability"] for r in md.probabilities(df).collect()}
+    got = {(r["tag"], r["tag_col"], r["word"], r["count"]): r["probability"] for r in md.probabilities(df, ["p", "q", "r"]).collect()}
     assert got == plain_probabilities(rows)
 
 
@@ -143,7 +143,7 @@ def test_weights_properties(spark, sf):
     columns = ["tag", "tag_col", "word", "count"]
     stored = md.weights_of_words(table).select(columns)
     assert sorted(direct.select(columns).collect()) == sorted(stored.collect())
-    rated = md.probabilities(direct)
+    rated = md.rate_words(direct, tags)
     unique = md.unique_words(rated).select("word", "tag_col")
     assert unique.join(md.multi_words(rated), ["word", "tag_col"]).count() == 0
 
