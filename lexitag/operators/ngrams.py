@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitag.functions import text as tx
-from lexitag.operators.lookup import salted_join
-from lexitag.operators.words import tagged_words, text_words
+from lexitag.operators.lasting import keep
+from lexitag.operators.lookup import lookup_join, salted_join
+from lexitag.operators.words import tagged_words
 
 LEAST_COUNT = 5  # fixed value: times a word must occur with its tag to be kept by clean_ngrams
 
@@ -72,24 +73,28 @@ def _containing(tokens: DataFrame, ngrams: DataFrame) -> DataFrame:
     parts = tokens.withColumn("_lengths", lengths).withColumn(
         "Ngram", F.explode(F.array_distinct(pieces))
     )
-    return salted_join(parts.drop("_lengths"), ngrams, ["Ngram"], "inner", ["token"])
+    return lookup_join(parts.drop("_lengths"), ngrams, ["Ngram"], "inner", ["token"])
 
 
 def verified_ngrams(
     ngrams: DataFrame, df: DataFrame, id_col: str, tag: str = "Tag", text: str = "Text"
 ) -> DataFrame:
-    """(id, Ngram, ngramTag): the rows whose text contains a word, for every word whose tag is
+    """``ngrams`` is a kept table. (id, Ngram, ngramTag): the rows whose text contains a word, for every word whose tag is
     contained in the tag of all these rows."""
-    words = text_words(df, id_col, text).select("entry", F.col("Ngram").alias("token")).distinct()
-    tags = df.select(F.col(id_col).alias("entry"), F.col(tag).alias("_tag"))
-    tagged = words.join(tags, "entry").groupBy("token", "_tag").agg(F.count(F.lit(1)).alias("_rows"))
-    met = _containing(tagged.select("token").distinct(), ngrams.select("Ngram", "ngramTag"))
+    words = df.where(F.col(text).isNotNull()).select(
+        F.col(id_col).alias("entry"),
+        F.col(tag).alias("_tag"),
+        F.explode(F.array_distinct(tx.space_words(F.col(text)))).alias("token"),
+    )
+    tagged = words.groupBy("token", "_tag").agg(F.count(F.lit(1)).alias("_rows"))
+    tagged = keep(tagged)
+    met = keep(_containing(tagged.select("token").distinct(), ngrams.select("Ngram", "ngramTag")))
     fits = F.coalesce(F.contains(F.col("_tag"), F.col("ngramTag")), F.lit(False))
     checked = salted_join(met, tagged, ["token"], "inner", ["Ngram"])
     good = checked.groupBy("Ngram", "ngramTag").agg(F.bool_and(fits).alias("ok")).where("ok")
     kept = met.join(good.select("Ngram", "ngramTag"), ["Ngram", "ngramTag"])
     return (
-        salted_join(words, kept, ["token"], "inner", ["entry"])
+        salted_join(words.select("entry", "token"), kept, ["token"], "inner", ["entry"])
         .select(F.col("entry").alias(id_col), "Ngram", "ngramTag")
         .distinct()
     )
