@@ -22,6 +22,11 @@ SPACES = (
 )
 
 
+def cells(names: Sequence[str]) -> list[Column]:
+    """Columns by name, whatever characters a name holds."""
+    return [F.col(f"`{c}`") for c in names]
+
+
 def stringify(df: DataFrame, missing: str | None = MISSING, keep: Sequence[str] = ()) -> DataFrame:
     """Cast every column to string; a missing cell becomes the word ``missing``.
 
@@ -37,13 +42,13 @@ def stringify(df: DataFrame, missing: str | None = MISSING, keep: Sequence[str]
 
 def row_text(cols: Sequence[str]) -> Column:
     """Text of a learn row: its data cells joined by one space."""
-    return F.concat_ws(" ", *[F.col(f"`{c}`") for c in cols])
+    return F.concat_ws(" ", *cells(cols))
 
 
 def full_row_text(cols: Sequence[str]) -> Column:
     """Text of a new row: all cells joined by one space, empty leading cells leave no space."""
     return F.aggregate(
-        F.array(*[F.col(f"`{c}`") for c in cols]),
+        F.array(*cells(cols)),
         F.lit(""),
         lambda text, cell: F.when(text == "", cell).otherwise(F.concat(text, F.lit(" "), cell)),
     )
@@ -107,5 +112,5 @@ def is_text(df: DataFrame, name: str) -> bool:
 def timestamps_to_dates(df: DataFrame) -> DataFrame:
     stamps = (T.TimestampType, T.TimestampNTZType)
     return df.withColumns(
-        {f.name: F.to_date(f.name) for f in df.schema.fields if isinstance(f.dataType, stamps)}
+        {f.name: F.to_date(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, stamps)}
     )

@@ -82,7 +82,8 @@ def relabel_relevance(
 def distinct_rows(df: DataFrame, id_col: str) -> DataFrame:
     """One row per set of equal cells, with its smallest row key."""
     names = [c for c in df.columns if c != id_col]
-    return df.groupBy(*names).agg(F.min(id_col).alias(id_col)).select(df.columns)
+    first = df.groupBy(*tx.cells(names)).agg(F.min(id_col).alias(id_col))
+    return first.select(tx.cells(df.columns))
 
 
 def result_columns(df: DataFrame, columns: Sequence[str], id_col: str | None = None) -> DataFrame:
@@ -90,7 +91,7 @@ def result_columns(df: DataFrame, columns: Sequence[str], id_col: str | None = N
     edit = F.col("TB_edit") if "TB_edit" in df.columns else F.lit("y")
     return tx.timestamps_to_dates(df).select(
         *([id_col] if id_col else []),
-        *[F.col(f"`{c}`") for c in columns],
+        *tx.cells(columns),
         edit.alias("TB_edit"),
         "TB_qual",
         quality_band(F.col("TB_qual")).alias("quality_band"),

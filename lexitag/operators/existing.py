@@ -28,7 +28,7 @@ def split_existing(new: DataFrame, learn: DataFrame, id_col: str) -> tuple[DataF
     keys = _upper_keys(columns)
     learn_columns = [c for c in learn.columns if c != id_col]
     keyed = learn.withColumns(keys)
-    first = keyed.groupBy(*keys).agg(F.min_by(F.struct(*learn_columns), id_col).alias("_row"))
+    first = keyed.groupBy(*keys).agg(F.min_by(F.struct(*tx.cells(learn_columns)), id_col).alias("_row"))
     asked = new.select(id_col, *[k.alias(n) for n, k in keys.items()])
     hot = hot_keys(asked, list(keys))
     old = salted_join(asked, first, list(keys), "inner", [id_col], hot).select(
@@ -36,7 +36,7 @@ def split_existing(new: DataFrame, learn: DataFrame, id_col: str) -> tuple[DataF
     )
     known = keyed.select(*keys).distinct()
     rest = salted_join(new.withColumns(keys), known, list(keys), "left_anti", [id_col], hot)
-    return old, rest.select(new.columns)
+    return old, rest.select(tx.cells(new.columns))
 
 
 def split_existing_normalised(
@@ -74,16 +74,20 @@ def split_existing_normalised(
     hot = hot_keys(asked, names)
     old = salted_join(asked, first, names, "inner", [id_col], hot).select(
         id_col,
-        *[F.col(f"_row.`{c}`") if c in fill else F.col(f"`{c}`") for c in new.columns if c != id_col],
+        *[
+            F.col(f"_row.`{c}`" if c in fill else f"`{c}`")
+            for c in new.columns
+            if c != id_col
+        ],
         F.lit("OLD").alias("Edit"),
         F.lit(1.0).alias("Quality"),
     )
     known = keyed.select(*names).distinct()
     rest = salted_join(asked, known, names, "left_anti", [id_col], hot).select(
-        *new.columns, F.lit("").alias("Edit")
+        *tx.cells(new.columns), F.lit("").alias("Edit")
     )
     tags = keyed.groupBy(*names).agg(F.min(tag).alias("_low"), F.max(tag).alias("_high"))
     unclear = tags.where("_low is null or _low <> _high").select(*names)
     met = unclear.join(asked.select(*names).distinct(), names, "left_semi")
-    conflicts = salted_join(keyed, met, names, "left_semi", [id_col]).select(learn.columns)
+    conflicts = salted_join(keyed, met, names, "left_semi", [id_col]).select(tx.cells(learn.columns))
     return old, rest, conflicts

@@ -8,6 +8,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
+_kept: list[str] = []
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's shared checkpoint folder; a local session without one gets its own."""
     context = spark.sparkContext
@@ -30,4 +33,13 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/kept-{uuid4().hex}"
     df.write.parquet(path)
+    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables kept so far. Results that are not written or collected yet are lost."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _kept:
+        path = hadoop(_kept.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -83,7 +83,7 @@ def tag_by_ngram(
 def tag_by_column(rows: DataFrame, column_tags: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
     """Tag rows in which some cell is a value of a not_relevant column vocabulary."""
     cells = rows.select(F.col(id_col), *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    long = cells.unpivot([id_col], list(cols), "col", "val")
+    long = cells.unpivot([id_col], tx.cells(cols), "col", "val")
     said = column_tags.where(F.col("Tag") == "not_relevant").select("col", "val")
     hits = lookup_join(long, said, ["col", "val"], "left_semi", [id_col])
     hits = hits.select(id_col).distinct().withColumn("_hit", F.lit(True))
@@ -97,7 +97,7 @@ def _nearest_row(
 ) -> DataFrame:
     """``asked`` (id, _text) -> (id, _ratio, _taken): the ``take`` cells of the first learn row
     (id, _text, ...) with the most similar text; several rows may share ``learned`` texts."""
-    first = learned.groupBy("_text").agg(F.min_by(F.struct(*take), learn_id).alias("_taken"))
+    first = learned.groupBy("_text").agg(F.min_by(F.struct(*tx.cells(take)), learn_id).alias("_taken"))
     near = best_text(
         asked.select(F.col("_text").alias("token")), learned.select(F.col("_text").alias("word"))
     )
@@ -132,7 +132,7 @@ def tag_similar(
     """
     take = ["Tag", *[c for c in fill_cols if c != "Tag"]]
     asked = rows.select(id_col, _spaceless(F.col(text)).alias("_text"))
-    learned = learn.select(id_col, _spaceless(F.col(text)).alias("_text"), *take)
+    learned = learn.select(id_col, _spaceless(F.col(text)).alias("_text"), *tx.cells(take))
     short = _nearest_row(asked, learned, id_col, id_col, take)
 
     if variable:
@@ -152,7 +152,7 @@ def tag_similar(
             joined = F.concat(*[F.col(f"`{c}`") for c in names])
             asked_set = asked_long.where(F.col("_used") == used_set)
             learned_set = learn.select(
-                id_col, F.concat(*[cells[c] for c in names]).alias("_text"), *take
+                id_col, F.concat(*[cells[c] for c in names]).alias("_text"), *tx.cells(take)
             )
             long_parts.append(
                 _nearest_row(

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexitag.functions import text as tx
 from lexitag.operators.lasting import keep
 from lexitag.operators.lookup import salted_join
 from lexitag.operators.words import learn_words, unpivot_tags
@@ -31,10 +32,11 @@ def weights(
     if missing or not tag_cols:
         raise ValueError(f"tag columns missing from the learn table: {sorted(missing)}")
     data_cols = [c for c in learn.columns if c not in tag_cols and c != id_col]
-    words = learn.select(F.explode(learn_words(data_cols, tokenizer)).alias("_word"), *tag_cols)
+    tags = tx.cells(tag_cols)
+    words = learn.select(F.explode(learn_words(data_cols, tokenizer)).alias("_word"), *tags)
     if not keep_empty:
         words = words.where("_word <> ''")
-    counted = words.groupBy("_word", *tag_cols).agg(F.count(F.lit(1)).alias("_count"))
+    counted = words.groupBy("_word", *tags).agg(F.count(F.lit(1)).alias("_count"))
     return (
         unpivot_tags(counted, ["_word", "_count"], tag_cols)
         .groupBy("tag", "tag_col", F.col("_word").alias("word"))

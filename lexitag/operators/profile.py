@@ -24,8 +24,8 @@ LEAST_COUNT = 2
 
 
 def _long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    cells = df.select(*ids, *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    return cells.unpivot(list(ids), list(cols), "col", "val")
+    texts = [F.col(f"`{c}`").cast("string").alias(c) for c in cols]
+    return df.select(*ids, *texts).unpivot(list(ids), tx.cells(cols), "col", "val")
 
 
 def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -98,7 +98,7 @@ def column_tags(df: DataFrame, tag: str, cols: Sequence[str]) -> DataFrame:
 
     cells = df.select(clean(tag).alias("Tag"), *[clean(c).alias(c) for c in cols])
     counted = (
-        cells.unpivot(["Tag"], list(cols), "col", "val")
+        cells.unpivot(["Tag"], tx.cells(cols), "col", "val")
         .where("Tag is not null and val is not null and val not in ('', ' ')")
         .groupBy("col", "val", "Tag")
         .agg(F.count(F.lit(1)).alias("n"))

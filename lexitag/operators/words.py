@@ -21,7 +21,7 @@ def learn_words(data_cols: Sequence[str], tokenizer: str = "row") -> Column:
 
 def unpivot_tags(df: DataFrame, ids: Sequence[str], tag_cols: Sequence[str]) -> DataFrame:
     """One row per tag column: ``ids``, tag_col, tag."""
-    return df.unpivot(list(ids), list(tag_cols), "tag_col", "tag")
+    return df.unpivot(tx.cells(ids), tx.cells(tag_cols), "tag_col", "tag")
 
 
 def word_table(
@@ -32,7 +32,7 @@ def word_table(
     words = learn.select(
         F.col(id_col).alias("entry"),
         F.explode(learn_words(data_cols, tokenizer)).alias("word"),
-        *tag_cols,
+        *tx.cells(tag_cols),
     )
     return unpivot_tags(words, ["entry", "word"], tag_cols)
 

@@ -196,3 +196,23 @@ def test_every_new_row_once(spark, sf):
     new = part.withColumn("p_type", F.lit(""))
     ids = [r["p_partkey"] for r in tag_rows(new, model, "p_partkey").collect()]
     assert len(ids) == len(set(ids)) == part.count()
+
+
+def test_any_column_name(spark):
+    schema = "id long, `Acct. Name` string, `Tag.1` string, `my tag` string"
+    learn = spark.createDataFrame([(1, "alpha one", "p", "u"), (2, "beta two", "q", "v")], schema)
+    model = train(learn, "id", ["Tag.1", "my tag"])
+    new = spark.createDataFrame([(8, "ALPHA ONE", "P", "U"), (9, "beta x", "", "")], schema)
+    old, rest = split_existing(new, learn, "id")
+    assert [tuple(r) for r in old.collect()] == [(8, "alpha one", "p", "u", "OLD", 100)]
+    assert [tuple(r) for r in tag_rows(rest, model, "id").collect()] == [(9, "beta x", "q", "v", 100)]
+
+
+def test_kept_tables_can_be_forgotten(spark):
+    from lexitag.operators import lasting
+
+    df = lasting.keep(spark.range(3).select("id", (F.col("id") * 2).alias("`a.b`")))
+    path = df.inputFiles()[0]
+    lasting.forget(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
