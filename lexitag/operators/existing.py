@@ -19,8 +19,9 @@ def split_existing(new: DataFrame, learn: DataFrame, id_col: str) -> tuple[DataF
     """(old, rest) of ``new``: old rows equal a learn row in all input columns, letter case aside.
 
     An old row is the first (smallest key) such learn row with its cells, TB_edit 'OLD' and
-    TB_qual 100, under the input's row key. Cells must not be null (see ``stringify``).
+    TB_qual 100, under the input's row key. Cells are taken as text, so two missing ones are equal.
     """
+    new, learn = (tx.stringify(df, keep=[id_col]) for df in (new, learn))
     columns = [c for c in new.columns if c != id_col]
     unknown = set(columns) - set(learn.columns)
     if unknown:

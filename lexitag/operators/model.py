@@ -31,6 +31,7 @@ def weights(
     missing = set(tag_cols) - set(learn.columns)
     if missing or not tag_cols:
         raise ValueError(f"tag columns missing from the learn table: {sorted(missing)}")
+    learn = tx.stringify(learn, keep=[id_col])
     data_cols = [c for c in learn.columns if c not in tag_cols and c != id_col]
     tags = tx.cells(tag_cols)
     words = learn.select(F.explode(learn_words(data_cols, tokenizer)).alias("_word"), *tags)
@@ -144,7 +145,7 @@ def train(
     tokenizer: str = "row",
     keep_empty: bool = True,
 ) -> TagModel:
-    """Learn from ``learn`` (all cells text, one row key).
+    """Learn from ``learn`` (cells are taken as text, a missing one as 'nan'; one row key).
 
     Two tables are kept: the counts, and the rated words that the vocabularies are filters of.
     """

@@ -141,12 +141,13 @@ def tag_rows(
     id_col: str,
     stages: Sequence[str] = ("unique", "multi", "similar"),
 ) -> DataFrame:
-    """New rows with their tags and TB_qual in learn column order.
+    """New rows, as text, with their tags and TB_qual in learn column order.
 
     A row is decided in the first stage that finds a hit for it. A row without any hit keeps
     null tags and TB_qual 0. What a stage decided is kept (one narrow row per decided row), as
     both the next stage and the result read it; so are the rows it left open.
     """
+    new = tx.stringify(new, keep=[id_col])
     columns = [c for c in new.columns if c != id_col]
     lookups = {
         "unique": (unique_stage, model.unique),

@@ -28,6 +28,7 @@ def word_table(
     learn: DataFrame, id_col: str, tag_cols: Sequence[str], tokenizer: str = "row"
 ) -> DataFrame:
     """(entry, word, tag_col, tag): every word of every learn row beside each of its tags."""
+    learn = tx.stringify(learn, keep=[id_col])
     data_cols = [c for c in learn.columns if c not in tag_cols and c != id_col]
     words = learn.select(
         F.col(id_col).alias("entry"),

@@ -265,6 +265,11 @@ ORACLES = {
             CASE WHEN conflict THEN 'NEW' ELSE '' END AS Edit,
             CASE WHEN conflict THEN 0.0::double WHEN NOT conflict THEN 1.0::double END AS Quality
         FROM turns LEFT JOIN hits USING (doc_id) LEFT JOIN fill ON fill.lang = result""",
+    "cascade_old": """SELECT 's' || s_suppkey AS id,
+            CASE WHEN s_nationkey = 0 THEN 'y' ELSE s_nationkey::varchar END AS Tag,
+            upper(s_name) AS Text, 'R' || n_regionkey AS region, 'OLD' AS Edit, 1.0::double AS Quality
+        FROM (SELECT *, row_number() OVER (PARTITION BY s_name ORDER BY s_suppkey) AS r FROM supplier)
+        JOIN nation ON s_nationkey = n_nationkey WHERE r = 1""",
     "tag_by_column": f"""WITH {_COLUMN_TAGS},
         bad AS (SELECT val FROM ct WHERE col = 'orderkey' AND Tag = 'not_relevant')
         SELECT o_orderkey AS id, CASE WHEN val IS NULL THEN '' ELSE 'y' END AS Tag,

@@ -216,3 +216,16 @@ def test_kept_tables_can_be_forgotten(spark):
     lasting.forget(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path)
+
+
+def test_missing_cells_and_numbers(spark):
+    schema = "id long, a string, n int, t string"
+    learn = spark.createDataFrame([(1, "alpha", None, "p"), (2, "beta", 7, "q")], schema)
+    model = train(learn, "id", ["t"])
+    assert {r["word"] for r in model.unique.collect()} == {"alpha", "nan", "beta", "7"}
+    new = spark.createDataFrame([(5, "ALPHA", None, "p"), (6, None, 7, None), (7, "x", 7, "")], schema)
+    old, rest = split_existing(new, learn, "id")
+    assert [tuple(r) for r in old.collect()] == [(5, "alpha", "nan", "p", "OLD", 100)]
+    got = {r["id"]: (r["a"], r["n"], r["t"], r["TB_qual"]) for r in tag_rows(rest, model, "id").collect()}
+    # a missing cell is the word 'nan', known here for p; with 7 for q the larger tag wins
+    assert got == {6: ("nan", "7", "q", 100), 7: ("x", "7", "q", 100)}
