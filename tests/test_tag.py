@@ -229,3 +229,39 @@ def test_missing_cells_and_numbers(spark):
     got = {r["id"]: (r["a"], r["n"], r["t"], r["TB_qual"]) for r in tag_rows(rest, model, "id").collect()}
     # a missing cell is the word 'nan', known here for p; with 7 for q the larger tag wins
     assert got == {6: ("nan", "7", "q", 100), 7: ("x", "7", "q", 100)}
+
+
+def test_copies_of_one_row_are_split(spark, monkeypatch):
+    """A third and more of the input are copies of one known row, another third of one new row."""
+    monkeypatch.setattr(lookup, "HOT_ROWS", 100)
+    learn = spark.createDataFrame([(1, "known"), (2, "Known"), (3, "other")], "id long, a string")
+    ids = spark.range(3000)
+    text = F.when(F.col("id") % 3 == 0, "KNOWN").when(F.col("id") % 3 == 1, "new")
+    new = ids.select("id", F.coalesce(text, F.concat(F.lit("w"), F.col("id").cast("string"))).alias("a"))
+    assert len(lookup.hot_keys(new, ["a"])) == 2
+    old, rest = split_existing(new, learn, "id")
+    old = old.collect()
+    assert len(old) == 1000 and {r["a"] for r in old} == {"known"}
+    assert rest.count() == 2000 and rest.where("a = 'new'").count() == 1000
+
+
+def test_checkpoint_folder_must_be_shared():
+    from types import SimpleNamespace
+
+    from lexitag.operators.lasting import checkpoint_folder
+
+    folders = []
+
+    def session(master, setting):
+        context = SimpleNamespace(
+            master=master,
+            getCheckpointDir=lambda: folders[-1] if folders else None,
+            setCheckpointDir=folders.append,
+        )
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, other: setting))
+
+    with pytest.raises(RuntimeError):
+        checkpoint_folder(session("yarn", None))
+    assert checkpoint_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    folders.clear()
+    assert "lexitag-" in checkpoint_folder(session("local[2]", None))
