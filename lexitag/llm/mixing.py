@@ -203,35 +203,33 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str, text_col: str, sourc
 
 #: The same in DuckDB SQL over ``documents``, for the constants above.
 SQL = r"""
-WITH RECURSIVE rows_ AS (
+WITH rows_ AS (
   SELECT doc_id, coalesce('a' || source, 'n') AS source,
          ('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[:15])::BIGINT AS key,
-         coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+         coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
-sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source) - 1) % 3 + 1]::DOUBLE AS weight
+weighted AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS most,
+         [3, 1, 2][(row_number() OVER (ORDER BY source) - 1) % 3 + 1]::DOUBLE AS weight
   FROM rows_ GROUP BY source),
-rounds AS (
-  SELECT 0 AS n, source, source_size, weight, false AS full_, (SELECT sum(source_size) * 1.5 FROM sources)::DOUBLE AS budget FROM sources
-  UNION ALL
-  SELECT n + 1, source, source_size, weight, full_ OR over, budget FROM (
-    SELECT *, NOT full_ AND weight * (budget - coalesce(sum(2.0 * source_size) FILTER (full_) OVER (), 0))
-                / sum(weight) FILTER (NOT full_) OVER () > 2 * source_size AS over FROM rounds)
-  QUALIFY bool_or(over) OVER ()),
-last_ AS (SELECT * FROM rounds WHERE n = (SELECT max(n) FROM rounds)),
+levels AS (
+  SELECT *, ((SELECT sum(source_size) * 1.5::DOUBLE FROM weighted) - coalesce(sum(most) OVER before, 0))
+            / sum(weight) OVER rest AS level
+  FROM weighted
+  WINDOW before AS (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         rest AS (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 targets AS (
-  SELECT source, source_size,
-    CASE WHEN full_ THEN 2.0 * source_size
-         ELSE weight * (budget - coalesce(sum(2.0 * source_size) FILTER (full_) OVER (), 0)) / sum(weight) FILTER (NOT full_) OVER () END AS target
-  FROM last_),
-units AS (SELECT source, key, sum(size) AS unit, count(*) AS copies FROM rows_ GROUP BY ALL),
-placed AS (SELECT *, sum(unit) OVER (PARTITION BY source ORDER BY key) - unit AS before FROM units)
-SELECT r.doc_id, r.size::BIGINT AS size, t.source_size, t.target,
-  (CASE WHEN t.source_size = 0 THEN 0
-   ELSE (round(t.target)::BIGINT // t.source_size) * r.size + CASE
-     WHEN p.before + p.unit <= round(t.target)::BIGINT % t.source_size AND p.unit > 0 AND p.before + p.unit < round(t.target)::BIGINT % t.source_size THEN r.size
-     WHEN p.before < round(t.target)::BIGINT % t.source_size
-       THEN least(r.size, (round(t.target)::BIGINT % t.source_size - p.before) // p.copies)
-     ELSE 0 END END)::BIGINT AS taken
+  SELECT source, source_size, target,
+         CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs,
+         CASE WHEN source_size > 0 THEN round(target)::BIGINT % source_size ELSE 0 END AS rest
+  FROM (SELECT source, source_size,
+          least(most, weight * coalesce((SELECT arg_min(level, most / weight) FROM levels WHERE level * weight <= most), 1e300)) AS target
+        FROM levels)),
+units AS (SELECT source, key, sum(size)::BIGINT AS unit, count(*) AS copies FROM rows_ GROUP BY ALL),
+placed AS (SELECT *, (sum(unit) OVER (PARTITION BY source ORDER BY key))::BIGINT - unit AS before FROM units)
+SELECT r.doc_id, r.size, t.source_size, t.target,
+  (t.epochs * r.size + CASE WHEN p.before + p.unit <= t.rest THEN r.size
+                            WHEN p.before < t.rest THEN (t.rest - p.before) // p.copies
+                            ELSE 0 END)::BIGINT AS taken
 FROM rows_ r JOIN targets t USING (source) JOIN placed p USING (source, key)
 """
