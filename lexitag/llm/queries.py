@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitag.llm import bpe, linededup, mixing, quality, simhash
+from lexitag.llm import bpe, langid, linededup, mixing, quality, simhash, toxicity
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -31,6 +31,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "doc_id", "toxic")
+    return toxicity.score(docs, model, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     vocabulary = public_tokenizers.path(VOCABULARY)
@@ -43,11 +49,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decide(docs, "doc_id", "text", "lang", "source").withColumnRenamed("id", "doc_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs, "doc_id", "text", "lang")
+    return langid.predict(docs, model, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {"op2_mixing": mixing.SQL, "op4_line_dedup": linededup.SQL, "op9_quality": quality.SQL}
