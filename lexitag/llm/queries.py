@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitag.llm import bpe, langid, linededup, mixing, quality, simhash, toxicity
+from lexitag.llm import bpe, kdtree, langid, linededup, mixing, quality, simhash, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -20,6 +20,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.plan(docs, "doc_id", "text", "source")).withColumnRenamed("id", "doc_id")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", kdtree.scaled(F.col("embedding")).alias("v"))
+    return kdtree.top_k(vectors, vectors.filter("vec_id % 50 = 0"), "vec_id", "v", 5)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.report(_table(spark, sf_dir, "documents"), "doc_id", "text")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -37,6 +42,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), "page_id", "url", "html").withColumnRenamed("id", "page_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     vocabulary = public_tokenizers.path(VOCABULARY)
@@ -57,11 +66,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_top_k": op3_top_k,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op2_mixing": mixing.SQL, "op4_line_dedup": linededup.SQL, "op9_quality": quality.SQL}
+ORACLES = {
+    "op2_mixing": mixing.SQL,
+    "op3_top_k": kdtree.SQL,
+    "op4_line_dedup": linededup.SQL,
+    "op7_warc": warc.SQL,
+    "op9_quality": quality.SQL,
+}
