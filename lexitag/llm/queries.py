@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitag.llm import bpe, kdtree, langid, linededup, mixing, quality, simhash, toxicity, warc
+from lexitag.llm import bpe, kdtree, langid, linededup, mixing, ordering, quality, simhash, toxicity, warc
+from lexitag.llm.shared import new_folder
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -15,6 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = _table(spark, sf_dir, "documents"), new_folder(spark, "training-order")
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    order, index = ordering.write(docs, "doc_id", "text", folder, vocabulary, public_tokenizers.PATTERN)
+    return ordering.read_back(index, order, folder).withColumnRenamed("id", "doc_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.taken(mixing.plan(docs, "doc_id", "text", "source")).withColumnRenamed("id", "doc_id")
@@ -65,6 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_training_order": op1_training_order,
     "op2_mixing": op2_mixing,
     "op3_top_k": op3_top_k,
     "op4_line_dedup": op4_line_dedup,
