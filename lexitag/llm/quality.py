@@ -153,18 +153,18 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
     )
     names = [f"{r}_{name}" for r in RATIOS for name in ("low", "high")]
-    pick = lambda level: quartiles.filter((F.col("level") == level)).select(
-        F.col("l").alias(f"l{level}"),
-        F.col("s").alias(f"s{level}"),
-        F.when((F.col("total") >= LEAST) | F.lit(level == 2), F.struct(*names)).alias(f"q{level}"),
+    groups = (
+        sketch.select("lang", "source")
+        .distinct()
+        .withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+        .withColumn("l", F.when(F.col("level") < 2, F.col("lang")).otherwise(F.lit("")))
+        .withColumn("s", F.when(F.col("level") < 1, F.col("source")).otherwise(F.lit("")))
     )
-    groups = sketch.select("lang", "source").distinct()
+    enough = (F.col("total") >= LEAST) | (F.col("level") == 2)
     return (
-        groups.join(pick(0), (F.col("lang") == F.col("l0")) & (F.col("source") == F.col("s0")), "left")
-        .join(pick(1).drop("s1"), F.col("lang") == F.col("l1"), "left")
-        .withColumn("l2", F.lit(""))
-        .join(pick(2).drop("s2"), "l2", "left")
-        .select("lang", "source", F.coalesce("q0", "q1", "q2").alias("q"))
+        groups.join(quartiles.filter(enough), ["level", "l", "s"])
+        .groupBy("lang", "source")
+        .agg(F.min_by(F.struct(*names), "level").alias("q"))
         .select("lang", "source", "q.*")
     )
 
@@ -183,7 +183,7 @@ def _outside(ratio: str) -> Column:
 
 def _decided(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """The enclosed documents with counts, base_failed and kept."""
-    limits = keep(thresholds(sketches(docs, text_col, lang_col, source_col)))
+    limits = keep(thresholds(keep(sketches(docs, text_col, lang_col, source_col))))
     rows = enclose(docs).withColumns(
         {
             "lang": group_key(F.col(inner(docs, lang_col))),
