@@ -17,7 +17,8 @@ cases: vectors that are null, empty or hold a null or non-finite component take
 without an identifier, nor pairs of different length; a query's own row is no candidate, rows
 that repeat an identifier are candidates each, unless it is the query's own, and a repeated query
 has one result; with fewer than k candidates all are returned; no rows give no rows; other columns
-of the input, whatever their names, are not read. Scores beyond a 64-bit integer end at its limits.
+of the input, whatever their names, are not read. Scores beyond a 64-bit integer end at its limits,
+and are ties there.
 """
 
 from __future__ import annotations
@@ -77,9 +78,9 @@ class KDTree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """(queries x nodes) upper bounds of the inner products."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return _limited(np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T)
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray) -> list[list[tuple]]:
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, known: list) -> list[list[tuple]]:
         """Per query up to k (score, -id), best first; ``known``: a k-th score found elsewhere."""
         import heapq
 
@@ -98,7 +99,7 @@ class KDTree:
                             heapq.heappush(nodes, (-bound[child], child))
                     continue
                 a, b = self.first[node], self.last[node]
-                scores = self.vectors[a:b] @ query
+                scores = _limited(self.vectors[a:b] @ query)
                 for i in np.flatnonzero(scores >= least):
                     item = (scores[i], -int(self.ids[a + i]))
                     if -item[1] == own[q]:
@@ -113,6 +114,11 @@ class KDTree:
         return found
 
 
+def _limited(scores: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers can hold them; doubles are only used where they all can."""
+    return np.clip(scores, -(2**63), 2**63 - 1) if scores.dtype == object else scores
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy()
     return flat.reshape(len(column), -1)
@@ -126,9 +132,9 @@ def _exact(vectors: np.ndarray) -> np.ndarray:
     return np.array([[int(x) for x in row] for row in vectors.tolist()], dtype=object)
 
 
-def _search(tree: KDTree, ids: np.ndarray, vectors: np.ndarray, known: np.ndarray, k: int) -> pa.RecordBatch:
+def _search(tree: KDTree, ids: np.ndarray, vectors: np.ndarray, known: list, k: int) -> pa.RecordBatch:
     rows = [
-        (int(i), -minus, max(-(2**63), min(2**63 - 1, int(score))))
+        (int(i), -minus, int(score))
         for i, best in zip(ids, tree.search(vectors, ids, k, known))
         for score, minus in best
     ]
@@ -157,8 +163,8 @@ def _searched(rows: DataFrame, k: int) -> DataFrame:
             if current[2] == 0:
                 tree = KDTree(ids, vectors)
                 return None
-            known = batch.column("known").to_numpy(zero_copy_only=False)
-            return _search(tree, ids, vectors, np.where(np.isnan(known), -np.inf, known), k) if tree else None
+            known = [-np.inf if x is None else x for x in batch.column("known").to_pylist()]
+            return _search(tree, ids, vectors, known, k) if tree else None
 
         for batch in batches:
             marks = np.stack([batch.column(c).to_numpy() for c in ("shard", "width", "kind", "block")])
@@ -197,7 +203,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
     shards = max(1, -(-candidates.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK))
     number = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
-    none = F.lit(None).cast("double")
+    none = F.lit(None).cast("long")
     placed = candidates.select(
         F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"),
         "width", F.lit(0).alias("kind"), F.lit(0).alias("block"), "id", "v", none.alias("known"),
@@ -212,7 +218,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
 
     first = search(asked.withColumns({"shard": home, "block": number(blocks, 2), "known": none}))
     kth = first.groupBy("query_id").agg(
-        F.when(F.count("score") >= k, F.min("score")).cast("double").alias("known")
+        F.when(F.count("score") >= k, F.min("score")).alias("known")
     )
     rest = (
         asked.join(kth, asked["id"] == kth["query_id"], "left")

@@ -82,9 +82,10 @@ def _number(urn: str) -> int | None:
 class _Bundle:
     """Writes one bundle: records in, frames out, the seek table at the end."""
 
-    def __init__(self, folder: str, number: int):
+    def __init__(self, folder: str, number: int, frame_bytes: int):
         import zstandard
 
+        self.frame_bytes = frame_bytes
         self.file = Rewritten(folder, f"bundle-{number:08d}.warc.zst")
         self.packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         self.frames: list[tuple[int, int]] = []
@@ -93,7 +94,7 @@ class _Bundle:
 
     def add(self, data: bytes) -> tuple[int, int]:
         """(frame, offset in it) where the record goes."""
-        if self.bytes and self.bytes + len(data) > FRAME_BYTES:
+        if self.bytes and self.bytes + len(data) > self.frame_bytes:
             self._close_frame()
         place = len(self.frames), self.bytes
         self.held.append(data)
@@ -165,12 +166,20 @@ def prepared(rows: DataFrame, id_col: str, uri_col: str, payload_col: str) -> Da
     )
 
 
-def write(rows: DataFrame, id_col: str, uri_col: str, payload_col: str, folder: str) -> DataFrame:
+def write(
+    rows: DataFrame,
+    id_col: str,
+    uri_col: str,
+    payload_col: str,
+    folder: str,
+    bundle_rows: int = BUNDLE_ROWS,
+    frame_bytes: int = FRAME_BYTES,
+) -> DataFrame:
     """Write the bundles; returns the kept index (id, bundle, frame, offset), one row per record."""
     spark = rows.sparkSession
     text_batches(spark)
     ready = prepared(rows, id_col, uri_col, payload_col)
-    bundles = max(1, -(-rows.count() // BUNDLE_ROWS))
+    bundles = max(1, -(-rows.count() // bundle_rows))
     dealt = ready.withColumn("bundle", F.pmod(F.xxhash64("id", "digest"), F.lit(bundles)).cast("int"))
     # The response of a payload comes before rows with the same identifier and payload.
     dealt = dealt.repartitionById(bundles, F.col("bundle")).sortWithinPartitions("bundle", "id", "digest")
@@ -184,7 +193,7 @@ def write(rows: DataFrame, id_col: str, uri_col: str, payload_col: str, folder:
                     if bundle:
                         bundle.done()
                     number = r["bundle"]
-                    bundle = _Bundle(folder, number)
+                    bundle = _Bundle(folder, number, frame_bytes)
                 again = (r["id"], r["digest"]) == last
                 last = r["id"], r["digest"]
                 revisit = r["shared"] and (again or r["id"] != r["first"])
