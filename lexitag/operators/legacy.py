@@ -46,7 +46,9 @@ def _mark(rows: DataFrame, tagged: Column, tag: Column, conflict: Column) -> Dat
 
 
 def split_tagged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return rows.where("Tag <> ''"), rows.where("Tag = ''")
+    """(rows with a tag, rows without one); a null tag is none."""
+    tagged = F.coalesce(F.col("Tag"), F.lit("")) != ""
+    return rows.where(tagged), rows.where(~tagged)
 
 
 def tag_relevance(rows: DataFrame, ngrams: DataFrame, id_col: str, text: str = "Text") -> DataFrame:
@@ -101,7 +103,8 @@ def _nearest_row(
     near = best_text(
         asked.select(F.col("_text").alias("token")), learned.select(F.col("_text").alias("word"))
     )
-    matched = near.join(first, near["word"] == first["_text"]).select(
+    named = near.withColumnRenamed("word", "_text")
+    matched = lookup_join(named, first, ["_text"], "inner", ["token"]).select(
         F.col("token").alias("_text"),
         F.round("similarity", 2).alias("_ratio"),
         "_taken",

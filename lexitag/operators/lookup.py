@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
-HOT_SHARE = 0.001  # a key with this share of the rows is split ...
-HOT_ROWS = 100_000  # ... if it has this many rows
-HOT_KEYS = 1000  # at most 1 / HOT_SHARE keys can have that share
+HOT_ROWS = 100_000  # a key with a partition's share of the rows is split if it has this many
+HOT_KEYS = 1000, 10_000  # keys looked for: as many as shuffle partitions, within these bounds
+SKETCHES = 256  # sketches of input partitions are put together in so many tasks, then in one
 SPREAD = 4096  # pieces that a key holding all rows would be split into
 
 
@@ -24,20 +24,31 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[tuple[int, int]]:
-    """(key hash, pieces) of the keys that hold at least HOT_SHARE and HOT_ROWS of the rows.
+    """(key hash, pieces) of the keys that hold at least HOT_ROWS and as much as a mean partition.
 
-    One sketch aggregate: no shuffle by key, one row back, never more than HOT_KEYS keys.
+    One sketch aggregate in two levels: no shuffle by key, one row back, a bounded number of keys.
     It only decides which keys are split, so its approximation cannot change a join's result.
     """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = max(HOT_KEYS[0], min(HOT_KEYS[1], partitions))
+    part = F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("_part")
     found = (
-        df.select(F.xxhash64(*keys).alias("_hash"))
+        df.select(F.xxhash64(*keys).alias("_hash"), part)
+        .groupBy("_part")
         .agg(
-            F.expr(f"approx_top_k(_hash, {HOT_KEYS}, {10 * HOT_KEYS})").alias("top"),
-            F.count(F.lit(1)).alias("total"),
+            F.expr(f"approx_top_k_accumulate(_hash, {10 * count})").alias("sketch"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        .groupBy(F.lit(0).alias("_all"))  # no row, rather than an empty sketch, if there are no rows
+        .agg(
+            F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {10 * count}), {count})").alias("top"),
+            F.sum("rows").alias("total"),
         )
         .first()
     )
-    least = max(HOT_ROWS, HOT_SHARE * found["total"])
+    if found is None:
+        return []
+    least = max(HOT_ROWS, found["total"] / count)
     top = [(r["item"], r["count"]) for r in found["top"] or [] if r["count"] >= least]
     return [(item, ceil(count / found["total"] * SPREAD)) for item, count in top]
 

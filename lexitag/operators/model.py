@@ -163,15 +163,20 @@ def train(
 
 def vocabulary_summary(model: TagModel) -> DataFrame:
     """One row of counts: probability rows, ambiguous words, vocabulary sizes, certain words."""
-    sizes = model.probabilities.agg(F.count(F.lit(1)).alias("probability_rows"))
-    ambiguous = ambiguous_words(model.probabilities).agg(F.count(F.lit(1)))
-    multi = model.multi.agg(F.count(F.lit(1)))
-    unique = model.unique.agg(F.count(F.lit(1)))
-    certain = model.unique.where("probability > 99.9").agg(F.count(F.lit(1)))
+    one = F.lit(1)
+    per_word = model.probabilities.groupBy("word").agg(F.count(one).alias("rows"))
+    sizes = per_word.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("probability_rows"),
+        F.count(F.when(F.col("rows") > 1, one)).alias("ambiguous_words"),
+    )
+    unique = model.unique.agg(
+        F.count(one).alias("unique_rows"), F.count(F.when(F.col("probability") > 99.9, one)).alias("certain_rows")
+    )
+    multi = model.multi.agg(F.count(one).alias("multi_rows"))
     return sizes.select(
         "probability_rows",
-        ambiguous.scalar().alias("ambiguous_words"),
-        unique.scalar().alias("unique_rows"),
-        certain.scalar().alias("certain_rows"),
+        "ambiguous_words",
+        unique.select("unique_rows").scalar().alias("unique_rows"),
+        unique.select("certain_rows").scalar().alias("certain_rows"),
         multi.scalar().alias("multi_rows"),
     )

@@ -92,7 +92,8 @@ def verified_ngrams(
     fits = F.coalesce(F.contains(F.col("_tag"), F.col("ngramTag")), F.lit(False))
     checked = salted_join(met, tagged, ["token"], "inner", ["Ngram"])
     good = checked.groupBy("Ngram", "ngramTag").agg(F.bool_and(fits).alias("ok")).where("ok")
-    kept = met.join(good.select("Ngram", "ngramTag"), ["Ngram", "ngramTag"])
+    good = keep(good.select("Ngram", "ngramTag"))
+    kept = lookup_join(met, good, ["Ngram", "ngramTag"], "inner", ["token"])
     return (
         salted_join(words.select("entry", "token"), kept, ["token"], "inner", ["entry"])
         .select(F.col("entry").alias(id_col), "Ngram", "ngramTag")

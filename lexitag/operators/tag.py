@@ -55,29 +55,34 @@ def multi_stage(words: DataFrame, multi: DataFrame, tag_cols: Sequence[str]) ->
     """(entry, tags, qual) from the ambiguous words of a row.
 
     A word brings a row per tag it occurs with, so the work is done once per set of ambiguous
-    words: rows with the same set, as all copies of a row have, share one result. Words hold no
-    space, so the sorted words joined by spaces stand for the set.
+    words: rows with the same set, as all copies of a row have, share one result. A set goes by a
+    digest, and its hits by the smallest row key that has it, so no hit carries the words.
     """
     ambiguous = multi.select("word").distinct()
     known = lookup_join(words, ambiguous, ["word"], "left_semi", ["entry"], measured=multi)
     sets = keep(
         known.groupBy("entry")
         .agg(F.array_sort(F.collect_list("word")).alias("words"))
-        .select("entry", F.array_join("words", " ").alias("words"))
+        .withColumn("digest", F.sha2(F.array_join("words", " "), 256))
     )
-    decided = keep(_decided_sets(sets.select("words").distinct(), multi, tag_cols))
-    return lookup_join(sets, decided, ["words"], "inner", ["entry"]).select("entry", "tags", "qual")
+    first = keep(
+        sets.groupBy("digest").agg(F.min("entry").alias("entry"), F.min_by("words", "entry").alias("words"))
+    )
+    decided = _decided_sets(first.select("entry", "words"), multi, tag_cols)
+    by_digest = keep(decided.join(first.select("entry", "digest"), "entry").drop("entry"))
+    asked = sets.select("entry", "digest")
+    return lookup_join(asked, by_digest, ["digest"], "inner", ["entry"]).select("entry", "tags", "qual")
 
 
 def _decided_sets(sets: DataFrame, multi: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
-    """(words) -> (words, tags, qual).
+    """(entry, words) -> (entry, tags, qual).
 
     Hits are ranked by falling (probability, word); the later a tag first appears, the stronger
     it is, so per tag column the tag with the lowest best hit wins, the larger tag on a tie.
     The quality is the highest probability. All three aggregates share one shuffle.
     """
     looked_up = multi.select("word", "tag_col", "tag", "probability")
-    words = sets.select(F.col("words").alias("entry"), F.explode(F.split("words", " ")).alias("word"))
+    words = sets.select("entry", F.explode("words").alias("word"))
     hits = lookup_join(words, looked_up, ["word"], "inner", ["entry"]).repartition("entry")
     best_of_tag = hits.groupBy("entry", "tag_col", "tag").agg(
         F.max(F.struct("probability", "word")).alias("best"), F.count(F.lit(1)).alias("hits")
@@ -90,8 +95,7 @@ def _decided_sets(sets: DataFrame, multi: DataFrame, tag_cols: Sequence[str]) ->
         F.max("best.probability").alias("probability"),
         _per_tag_col(tag_cols, lambda here: F.min_by("tag", F.when(here, F.col("best")))),
     )
-    decided = _decided(per_set, tag_cols, F.col("probability"))
-    return decided.withColumnRenamed("entry", "words")
+    return _decided(per_set, tag_cols, F.col("probability"))
 
 
 def similar_stage(rows: DataFrame, unique: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
@@ -109,7 +113,7 @@ def similar_stage(rows: DataFrame, unique: DataFrame, tag_cols: Sequence[str]) -
         F.desc("similarity"), F.desc("word"), "tag", "tag_col"
     )
     candidates = (
-        near.join(unique.select("word", "tag", "tag_col"), "word")
+        lookup_join(near, unique.select("word", "tag", "tag_col"), ["word"], "inner", ["token"])
         .withColumn("place", F.row_number().over(per_token))
         .where(F.col("place") <= count)
         .drop("place")

@@ -23,7 +23,6 @@ def train_from_files(
     folder: str,
     tag_cols: Sequence[str],
     excludes: Mapping[str, Sequence[str]] | None = None,
-    max_rows: int = 0,
     rebuild: bool = False,
     with_words: bool = False,
 ) -> md.TagModel:
@@ -38,7 +37,7 @@ def train_from_files(
         return store.saved_or_built(spark, folder, name, build, rebuild)
 
     def learn_rows() -> DataFrame:
-        rows = tables.read_table(spark, paths, excludes, distinct=True, max_rows=max_rows)
+        rows = tables.read_table(spark, paths, excludes, distinct=True)
         return rows.select(F.monotonically_increasing_id().alias("entry"), "*")
 
     learn = stored(store.LEARN, learn_rows)
@@ -82,14 +81,13 @@ def tag_files(
     folder: str,
     excludes: Mapping[str, Sequence[str]] | None = None,
     distinct: bool = False,
-    max_rows: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """(old, tagged) rows of new files against the model stored in ``folder``."""
     model = load_model(spark, folder)
     learn = store.load_table(spark, folder, store.LEARN)
-    new = tables.read_table(spark, paths, excludes, distinct, max_rows)
+    new = tables.read_table(spark, paths, excludes, distinct)
     old, rest = split_existing(tables.with_entry(new), learn, "entry")
-    return old, tag_rows(rest, model, "entry")
+    return old, tag_rows(keep(rest), model, "entry")  # its stages read the new rows several times
 
 
 def convert_report(

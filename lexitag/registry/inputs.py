@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPREAD = "spark.lexitag.spread"
 TEXT_TABLES = {
     "documents": ["doc_id"],
     "conversations": ["conv_id", "turn"],
@@ -15,14 +16,11 @@ TEXT_TABLES = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Splitting texts is bound by CPU, so a text table stored in fewer pieces than there are
-    cores is dealt out by its key first. A table of many files is read as it lies."""
+    """The table as it lies. A session whose files are single pieces that cannot be split, as those
+    of the bench, may ask for text tables to be dealt out first by setting SPREAD."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = TEXT_TABLES.get(name)
-    cores = spark.sparkContext.defaultParallelism
-    if key and len(df.inputFiles()) < cores:
-        return df.repartition(cores, *key)
-    return df
+    key, pieces = TEXT_TABLES.get(name), spark.conf.get(SPREAD, None)
+    return df.repartition(int(pieces), *key) if key and pieces else df
 
 
 def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,22 +17,54 @@ from lexitag.operators.lasting import keep
 SEPARATOR = ";"
 VALUE_LIST_SEPARATOR = " "
 BOOKKEEPING = ("TB_edit", "TB_qual")
-TEST_ROWS = 18000
 
 
-def _csv(spark: SparkSession, paths: str | Sequence[str], sep: str = SEPARATOR) -> DataFrame:
-    return spark.read.option("sep", sep).option("header", True).csv(paths)
+def _csv(
+    spark: SparkSession, paths: str | Sequence[str], sep: str = SEPARATOR, multi_line: bool = False
+) -> DataFrame:
+    """Quotes in quoted cells are doubled and a backslash is a character like any other. Cells hold
+    line breaks only with ``multi_line``, as a file then cannot be split."""
+    reader = spark.read.options(sep=sep, header=True, quote='"', escape='"', multiLine=multi_line)
+    return reader.csv(paths)
+
+
+def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files under a path or glob, those with the same first line together.
+
+    Only the first line of each file is read, and only file names come to the driver.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(path)
+    system = pattern.getFileSystem(conf)
+    found = list(system.globStatus(pattern) or [])
+    files = [f for x in found for f in (system.listStatus(x.getPath()) if x.isDirectory() else [x])]
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    groups: dict[str, list[str]] = {}
+    for file in files:
+        place = file.getPath()
+        if file.isDirectory() or place.getName()[0] in "_.":
+            continue
+        codec, stream = codecs.getCodec(place), system.open(place)
+        lines = jvm.java.io.BufferedReader(
+            jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+        )
+        groups.setdefault(lines.readLine(), []).append(place.toString())
+        lines.close()
+    return list(groups.values())
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All files as text columns. Files under one path (or glob) share one header; several
-    paths are read apart and united by column name."""
+def read_raw(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+    """All files as text columns, united by column name: one read per path and header."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return _union([_csv(spark, p) for p in paths])
+    parts = []
+    for path in paths:
+        groups = _by_header(spark, path)
+        parts += [_csv(spark, g, multi_line=multi_line) for g in (groups if len(groups) > 1 else [path])]
+    return _union(parts)
 
 
 def read_table(
@@ -40,12 +72,10 @@ def read_table(
     paths: str | Sequence[str],
     excludes: Mapping[str, Sequence[str]] | None = None,
     distinct: bool = False,
-    max_rows: int = 0,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Files -> text table: excluded rows out, bookkeeping columns out, missing cells 'nan'."""
-    df = read_raw(spark, paths)
-    if max_rows:
-        df = df.limit(max_rows)
+    df = read_raw(spark, paths, multi_line)
     if excludes:
         df = clean.exclude_patterns(df, excludes)
     if set(BOOKKEEPING) <= set(df.columns):
@@ -93,10 +123,11 @@ def read_decimal_table(
     )
 
 
-def as_learn_table(df: DataFrame, tag_col: str, text_col: str, max_cols: int = 0) -> DataFrame:
-    """Legacy learn table: first ``max_cols`` columns, Tag and Text named, missing text 'None'."""
-    names = df.columns[:max_cols] if max_cols else df.columns
-    df = df.select([F.col(f"`{c}`") for c in names])
+def as_learn_table(
+    df: DataFrame, tag_col: str, text_col: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Legacy learn table: the named columns (all by default), Tag and Text named, missing text 'None'."""
+    df = df.select([F.col(f"`{c}`") for c in columns or df.columns])
     cells = {
         c: F.coalesce(F.col(f"`{c}`"), F.lit("None")) for c in df.columns if tx.is_text(df, c)
     }
@@ -105,7 +136,8 @@ def as_learn_table(df: DataFrame, tag_col: str, text_col: str, max_cols: int = 0
 
 def write_table(df: DataFrame, path: str, header: bool = True) -> None:
     """Delimited text out (one file per partition)."""
-    df.write.mode("overwrite").option("sep", SEPARATOR).option("header", header).csv(path)
+    options = dict(sep=SEPARATOR, header=header, quote='"', escape='"')
+    df.write.mode("overwrite").options(**options).csv(path)
 
 
 def write_results(df: DataFrame, path: str, columns: Sequence[str], id_col: str | None = None) -> None:
