@@ -136,7 +136,8 @@ def as_learn_table(
 
 def write_table(df: DataFrame, path: str, header: bool = True) -> None:
     """Delimited text out (one file per partition)."""
-    options = dict(sep=SEPARATOR, header=header, quote='"', escape='"')
+    blanks = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    options = dict(sep=SEPARATOR, header=header, quote='"', escape='"', **blanks)
     df.write.mode("overwrite").options(**options).csv(path)
 
 

@@ -176,3 +176,12 @@ def test_cascade(spark, tmp_path):
     assert got[3]["Tag"] == "paper" and 0.25 <= got[3]["Quality"] < 1
     assert (got[4]["Tag"], got[4]["Quality"]) == ("", 0.0)
     assert conflicts.count() == 0
+
+
+def test_null_tag_is_no_tag(spark):
+    from lexitag.operators import legacy
+
+    rows = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "id long, Tag string")
+    tagged, left = legacy.split_tagged(rows)
+    assert [r["id"] for r in tagged.collect()] == [1]
+    assert sorted(r["id"] for r in left.collect()) == [2, 3]
