@@ -191,7 +191,9 @@ def _decided(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
         }
     )
     text = inner(docs, text_col)
-    rows = _with_repeats(_with_counts(rows, text), text)
+    # The counts are worked out once a row: a filter on them is not pushed below the row number,
+    # where it would repeat their expressions in place of every use.
+    rows = _with_repeats(_with_counts(rows, text), text).withColumn("q_row", F.monotonically_increasing_id())
     joined = lookup_join(rows, limits, ["lang", "source"], "left", salt_by=[text])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rejected = failed
@@ -201,8 +203,8 @@ def _decided(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
 
 
 def decide(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(id, counts, base_failed, kept) of every document, one row per input row."""
-    return _decided(docs, text_col, lang_col, source_col).select(
+    """(id, counts, base_failed, kept) of every document, one row per input row; a kept narrow table."""
+    decided = _decided(docs, text_col, lang_col, source_col).select(
         F.col(inner(docs, id_col)).alias("id"),
         "n_words",
         "word_chars",
@@ -212,11 +214,12 @@ def decide(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_co
         "base_failed",
         "kept",
     )
+    return keep(decided)
 
 
 def keep_documents(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """The input rows that the rules keep, with the columns they came with."""
-    return reopen(_decided(docs, text_col, lang_col, source_col).filter("kept"), docs)
+    return reopen(_decided(docs, text_col, lang_col, source_col).filter("kept and q_row >= 0"), docs)
 
 
 #: The same in DuckDB SQL over ``documents``, with the constants above.
