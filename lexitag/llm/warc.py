@@ -9,7 +9,8 @@ frame and offset in the decompressed frame; ``read`` goes by index and footer, f
 A payload that several records share, of at least ``REVISIT_BYTES``, is stored once: the record
 with the smallest identifier is the response, the others are revisit records that name it and the
 payload's digest. Which they are follows from one aggregate over digests, with map-side
-combination, and a join back that adaptive execution splits where a digest is hot.
+combination, and a join of identifiers that adaptive execution splits where a digest is hot; the
+result travels to a row's bundle beside the row, so payloads are shuffled once.
 
 Defined cases: a null payload is empty; payloads too short to be shared are all responses; null
 identifiers come after all others and are never the response of a record that has one; of rows that
@@ -24,7 +25,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitag.llm.common import quoted, text_batches
@@ -143,27 +144,24 @@ class BundleReader:
         return self.last[1]
 
 
-def prepared(rows: DataFrame, id_col: str, uri_col: str, payload_col: str) -> DataFrame:
-    """(id, uri, payload, digest, shared, first): what is written, and the response of shared payloads."""
+def _digested(rows: DataFrame, id_col: str, payload_col: str, *more: Column) -> DataFrame:
+    """(id, digest, payload, ...) of all rows."""
     payload = F.coalesce(quoted(payload_col).cast("string"), F.lit("")).cast("binary")
-    all_rows = rows.select(
-        quoted(id_col).cast("long").alias("id"),
-        F.coalesce(quoted(uri_col).cast("string"), F.lit("")).alias("uri"),
-        payload.alias("payload"),
-        F.sha2(payload, 256).alias("digest"),
+    return rows.select(
+        quoted(id_col).cast("long").alias("id"), F.sha2(payload, 256).alias("digest"), payload.alias("payload"), *more
     )
-    large = F.octet_length("payload") >= REVISIT_BYTES
+
+
+def shared_payloads(rows: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+    """(id, digest, first) of the rows whose payload several rows have; ``first`` is its response.
+
+    Payloads are digested where they are read; only identifiers and digests are shuffled.
+    """
+    all_rows = _digested(rows, id_col, payload_col)
+    large = all_rows.filter(F.octet_length("payload") >= REVISIT_BYTES).select("id", "digest")
     first = F.min(F.struct(F.col("id").isNull().alias("no"), "id"))
-    shared = (
-        all_rows.filter(large)
-        .groupBy("digest")
-        .agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("digest", F.col("first.id").alias("first"), F.lit(True).alias("shared"))
-    )
-    return all_rows.join(shared, "digest", "left").select(
-        "id", "uri", "payload", "digest", (F.coalesce("shared", F.lit(False)) & large).alias("shared"), "first"
-    )
+    shared = large.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return large.join(shared, "digest").select("id", "digest", F.col("first.id").alias("first"))
 
 
 def write(
@@ -178,26 +176,32 @@ def write(
     """Write the bundles; returns the kept index (id, bundle, frame, offset), one row per record."""
     spark = rows.sparkSession
     text_batches(spark)
-    ready = prepared(rows, id_col, uri_col, payload_col)
+    uri = F.coalesce(quoted(uri_col).cast("string"), F.lit("")).alias("uri")
+    written = _digested(rows, id_col, payload_col, uri).withColumns({"kind": F.lit(1), "first": F.lit(None).cast("long")})
+    known = shared_payloads(rows, id_col, payload_col).withColumn("kind", F.lit(0))
     bundles = max(1, -(-rows.count() // bundle_rows))
-    dealt = ready.withColumn("bundle", F.pmod(F.xxhash64("id", "digest"), F.lit(bundles)).cast("int"))
-    # The response of a payload comes before rows with the same identifier and payload.
-    dealt = dealt.repartitionById(bundles, F.col("bundle")).sortWithinPartitions("bundle", "id", "digest")
+    both = written.unionByName(known, allowMissingColumns=True)
+    dealt = both.withColumn("bundle", F.pmod(F.xxhash64("id", "digest"), F.lit(bundles)).cast("int"))
+    # What is known of a row comes just before it, and rows that agree in both follow one another.
+    dealt = dealt.repartitionById(bundles, F.col("bundle")).sortWithinPartitions("bundle", "id", "digest", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle, number, last = None, None, None
+        bundle, number, last, shared, first = None, None, None, None, None
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
+                row = r["id"], r["digest"]
+                if r["kind"] == 0:
+                    shared, first = row, r["first"]
+                    continue
                 if r["bundle"] != number:
                     if bundle:
                         bundle.done()
                     number = r["bundle"]
                     bundle = _Bundle(folder, number, frame_bytes)
-                again = (r["id"], r["digest"]) == last
-                last = r["id"], r["digest"]
-                revisit = r["shared"] and (again or r["id"] != r["first"])
-                data = record(r["id"], r["uri"], r["digest"], r["payload"], revisit, r["first"])
+                revisit = row == shared and (row == last or r["id"] != first)
+                last = row
+                data = record(r["id"], r["uri"], r["digest"], r["payload"], revisit, first)
                 out.append((r["id"], number, *bundle.add(data)))
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
             if out:
