@@ -42,21 +42,26 @@ PIECE = 1024
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of one text: bits set in more than half of its shingles' XXH64."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of every shingle of one text, in order; none for a text without words."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, np.int64)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of one text: bits set in more than half of its shingles' XXH64."""
+    hashes = shingle_hashes(text, shingle)
+    n, counts = len(hashes), np.zeros(BITS, np.int64)
     for at in range(0, n, 65_536):
         part = hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -260,6 +265,11 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
     first = F.min(F.struct(F.col("id").isNull(), "id", "d_text", "d_id"))
     by_fp = rows.groupBy("fp").agg(first.alias("first")).join(roots, "fp")
     winners = by_fp.groupBy("root").agg(F.min("first").alias("first")).select("first.d_id", "first.d_text")
+    return only(docs, id_col, text_col, winners)
+
+
+def only(docs: DataFrame, id_col: str, text_col: str, winners: DataFrame) -> DataFrame:
+    """The rows that ``winners`` (d_id, d_text) name, each once."""
     opened = enclose(docs).withColumns(
         {"d_id": group_key(F.col(inner(docs, id_col))), "d_text": F.xxhash64(F.col(inner(docs, text_col)))}
     )
