@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitag.llm import bpe, kdtree, langid, linededup, mixing, ordering, quality, simhash, toxicity, warc
+from lexitag.llm import bpe, kdtree, langid, linededup, merkle, mixing, ordering, quality, simhash, toxicity, warc
 from lexitag.llm.shared import new_folder
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -72,6 +72,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    rows = merkle.report(_table(spark, sf_dir, "documents"), columns, "doc_id", "source", "text")
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_training_order": op1_training_order,
     "op2_mixing": op2_mixing,
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op11_merkle": op11_merkle,
 }
 ORACLES = {
     "op2_mixing": mixing.SQL,
@@ -90,4 +97,5 @@ ORACLES = {
     "op4_line_dedup": linededup.SQL,
     "op7_warc": warc.SQL,
     "op9_quality": quality.SQL,
+    "op11_merkle": merkle.SQL,
 }
