@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitag.llm import bpe, kdtree, langid, linededup, merkle, mixing, ordering, quality, simhash, toxicity, warc
+from lexitag.llm import bpe, kdtree, langid, linededup, merkle, mixing, ordering, quality, secrets, simhash, toxicity, warc
 from lexitag.llm.shared import new_folder
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -78,6 +78,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_training_order": op1_training_order,
     "op2_mixing": op2_mixing,
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
     "op11_merkle": op11_merkle,
+    "op12_secrets": op12_secrets,
 }
 ORACLES = {
     "op2_mixing": mixing.SQL,
@@ -98,4 +103,5 @@ ORACLES = {
     "op7_warc": warc.SQL,
     "op9_quality": quality.SQL,
     "op11_merkle": merkle.SQL,
+    "op12_secrets": secrets.SQL,
 }
