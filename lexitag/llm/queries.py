@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitag.llm import bpe, kdtree, langid, linededup, merkle, mixing, ordering, quality, secrets, simhash, toxicity, warc
+from lexitag.llm import bpe, collocations, kdtree, langid, linededup, merkle, mixing, ordering, quality, secrets, simhash, toxicity, warc
 from lexitag.llm.shared import new_folder
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -82,6 +82,10 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_table(spark, sf_dir, "documents"), "text", "lang")
+
+
 QUERIES = {
     "op1_training_order": op1_training_order,
     "op2_mixing": op2_mixing,
@@ -95,6 +99,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_merkle": op11_merkle,
     "op12_secrets": op12_secrets,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op2_mixing": mixing.SQL,
@@ -104,4 +109,5 @@ ORACLES = {
     "op9_quality": quality.SQL,
     "op11_merkle": merkle.SQL,
     "op12_secrets": secrets.SQL,
+    "op13_collocations": collocations.SQL,
 }
