@@ -78,13 +78,13 @@ def _batches(spark: SparkSession, rows: int):
         spark.conf.set(setting, before)
 
 
-def _rows_of(runs: np.ndarray, shortest: int) -> Iterator[np.ndarray]:
-    """Runs, each behind a 0, in rows of some RUN_ROW numbers; runs below ``shortest`` are left out."""
+def _rows_of(runs: np.ndarray, shortest: int, size: int) -> Iterator[np.ndarray]:
+    """Runs, each behind a 0, in rows of some ``size`` numbers; runs below ``shortest`` are left out."""
     at = np.flatnonzero(runs == 0)
     sizes = np.diff(np.append(at, len(runs)))
     runs = runs[np.repeat(sizes > shortest, sizes)]
     at = np.flatnonzero(runs == 0)
-    cuts = np.unique(at[np.searchsorted(at, np.arange(0, len(runs), RUN_ROW)).clip(max=len(at) - 1)]) if len(at) else at
+    cuts = np.unique(at[np.searchsorted(at, np.arange(0, len(runs), size)).clip(max=len(at) - 1)]) if len(at) else at
     for a, b in zip(cuts, [*cuts[1:], len(runs)]):
         yield runs[a:b]
 
@@ -94,12 +94,12 @@ def _listed(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(rows).astype(np.int64)))
 
 
-def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Numbered words, in order, as rows of runs: words that follow each other in one piece."""
     held, last = [np.zeros(0, np.int64)], (None, None)
 
     def rows(runs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = list(_rows_of(runs, 2))
+        found = list(_rows_of(runs, 2, size))
         if found:
             yield pa.RecordBatch.from_arrays([_listed(found)], ["runs"])
 
@@ -113,7 +113,7 @@ def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = row[-1], pos[-1]
         starts = np.flatnonzero(fresh)
         runs = np.insert(number, starts, 0)
-        if len(starts) and sum(map(len, held)) >= RUN_ROW:
+        if len(starts) and sum(map(len, held)) >= size:
             cut = int(starts[-1]) + len(starts) - 1  # the last run may go on in the next batch
             yield from rows(np.concatenate([*held, runs[:cut]]))
             held = [runs[cut:]]
@@ -134,11 +134,11 @@ def _keys(runs: np.ndarray, at: np.ndarray, n: int, bits: int) -> list[np.ndarra
     return permuted([runs[at + j].astype(np.uint64) for j in range(n)], [bits] * n)
 
 
-def _alive(runs: np.ndarray, n: int, bits: int, bitmap: np.ndarray) -> np.ndarray:
+def _alive(runs: np.ndarray, n: int, bits: int, bitmap: np.ndarray, slot_bits: int) -> np.ndarray:
     """The parts of runs in which all n-grams may be candidates, and at least two follow each other."""
     at = _windows(runs, n)
     if len(at):
-        slot = top(_keys(runs, at, n, bits), n * bits, min(SLOT_BITS, n * bits)).astype(np.int64)
+        slot = top(_keys(runs, at, n, bits), n * bits, slot_bits).astype(np.int64)
         at = at[(bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
     if not len(at):
         return np.zeros(0, np.int64)
@@ -154,6 +154,8 @@ def _alive(runs: np.ndarray, n: int, bits: int, bitmap: np.ndarray) -> np.ndarra
 def _counted(runs: DataFrame, n: int, bits: int, block_bits: int, bitmap: Broadcast | None) -> DataFrame:
     """Kept rows of two kinds: (block, filter) of n-grams, and (runs) that longer ones may lie in."""
 
+    size, grams, slot_bits = RUN_ROW, GRAMS, min(SLOT_BITS, (n - 1) * bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, filters = [], []
 
@@ -172,20 +174,20 @@ def _counted(runs: DataFrame, n: int, bits: int, block_bits: int, bitmap: Broadc
         for batch in batches:
             found = batch.column("runs").flatten().to_numpy()
             if bitmap is not None:
-                found = _alive(found, n - 1, bits, bitmap.value)
-                rows = list(_rows_of(found, n + 1))
+                found = _alive(found, n - 1, bits, bitmap.value, slot_bits)
+                rows = list(_rows_of(found, n + 1, size))
                 for i in range(0, len(rows), 64):
                     part = rows[i : i + 64]
                     nothing = [pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())]
                     yield pa.RecordBatch.from_arrays([*nothing, _listed(part)], ["block", "filter", "runs"])
             at = _windows(found, n)
-            for i in range(0, len(at), GRAMS):
-                held.append(_keys(found, at[i : i + GRAMS], n, bits))
-                if sum(len(k[0]) for k in held) >= GRAMS:
+            for i in range(0, len(at), grams):
+                held.append(_keys(found, at[i : i + grams], n, bits))
+                if sum(len(k[0]) for k in held) >= grams:
                     fold()
-                if sum(map(len, filters)) >= 2 * GRAMS:
+                if sum(map(len, filters)) >= 2 * grams:
                     filters = [Filter.merged(filters)]
-                    if len(filters[0]) >= GRAMS:
+                    if len(filters[0]) >= grams:
                         yield from handed_on()
                         filters = []
         fold()
@@ -198,7 +200,7 @@ def _counted(runs: DataFrame, n: int, bits: int, block_bits: int, bitmap: Broadc
 
 def _merged(counted: DataFrame, n: int, bits: int, block_bits: int, least: int) -> DataFrame:
     """Kept rows of two kinds: (gram, f) of every candidate, and (block, slots): its part of the bitmap."""
-    width, slot_bits = n * bits, min(SLOT_BITS, n * bits)
+    width, slot_bits, most = n * bits, min(SLOT_BITS, n * bits), 2 * GRAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, filters = None, []
@@ -225,7 +227,7 @@ def _merged(counted: DataFrame, n: int, bits: int, block_bits: int, least: int)
                         yield from done()
                     block, filters = b, []
                 filters.append(Filter.decode(blob.as_buffer().to_pybytes(), b, block_bits, width))
-                if len(filters) > 1 and sum(map(len, filters)) >= 2 * max(GRAMS, len(filters[0])):
+                if len(filters) > 1 and sum(map(len, filters)) >= max(most, 2 * len(filters[0])):
                     filters = [Filter.merged(filters)]
         if filters:
             yield from done()
@@ -264,8 +266,10 @@ def _runs(docs: DataFrame, text_col: str, lang_col: str, vocabulary: DataFrame)
     else:
         found = salted_join(placed, known, ["lang", "word"], salt_by=["row", "pos"])
         found = found.repartition("row").sortWithinPartitions("row", "pos")
+    size = RUN_ROW
     with _batches(spark, 50_000):
-        return keep(found.select("row", "pos", "number").mapInArrow(_joined_runs, "runs array<long>"))
+        narrow = found.select("row", "pos", "number")
+        return keep(narrow.mapInArrow(lambda batches: _joined_runs(batches, size), "runs array<long>"))
 
 
 def counts(docs: DataFrame, text_col: str, lang_col: str, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
