@@ -8,7 +8,7 @@ the lines that stay. The texts themselves are shuffled once, for that last join;
 of all documents hold is counted per (hash, document) first, and looked up in a broadcast or salted
 join.
 
-A document is a row of the input; rows that agree in identifier and text are one document. Defined
+A document is a row of the input, so rows that agree in identifier and text count each. Defined
 cases: a null or empty text is one empty line, which is too short to be dropped, and stays as it is;
 a null identifier is a value like any other; no documents give no rows; other columns of the input,
 whatever their names, are handed on.
@@ -37,13 +37,15 @@ def _document(identifier: Column, text: Column) -> list[Column]:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(d_id, d_text, pos, h1, h2) of every line; the hashes are null where the key is too short."""
+    """(row, d_id, d_text, pos, h1, h2) of every line; the hashes are null where the key is too short."""
     text = quoted(text_col)
-    rows = docs.select(*_document(quoted(id_col), text), F.posexplode(_lines(text)).alias("pos", "line"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *_document(quoted(id_col), text), text.alias("text"))
+    rows = rows.select("row", "d_id", "d_text", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     key = F.btrim(F.col("line"), F.lit(BLANKS))
     rows = rows.withColumn("key", ascii_lower(key))
     long_enough = F.char_length("key") >= min_chars
     return rows.select(
+        "row",
         "d_id",
         "d_text",
         "pos",
@@ -57,7 +59,7 @@ def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return (
         lines.filter(F.col("h1").isNotNull())
         .groupBy("h1", "h2")
-        .agg(F.countDistinct("d_id", "d_text").alias("docs"))
+        .agg(F.countDistinct("row").alias("docs"))
         .filter(F.col("docs") >= min_docs)
         .select("h1", "h2")
     )
@@ -67,6 +69,7 @@ def _flagged(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_cha
     """The enclosed documents with ``flags``: for those that lose lines, per position, is it dropped?"""
     lines = keep(line_table(docs, id_col, text_col, min_chars))
     frequent = keep(frequent_lines(lines, min_docs)).withColumn("dropped", F.lit(True))
+    lines = lines.drop("row")
     found = lookup_join(lines, frequent, ["h1", "h2"], "left", salt_by=["d_id", "d_text", "pos"])
     flag = F.struct("pos", F.coalesce("dropped", F.lit(False)).alias("dropped"))
     flags = (

@@ -44,12 +44,12 @@ def quality(rows):
 
 
 def line_dedup(rows, min_docs=10):
-    """(doc_id, text) -> (doc_id, n_lines, n_dropped, kept text); rows alike are one document."""
+    """(doc_id, text) -> (doc_id, n_lines, n_dropped, kept text); every row is a document."""
     key = lambda line: line.strip(BLANKS).translate(UPPER)
     held = defaultdict(set)
-    for doc_id, text in rows:
+    for row, (_, text) in enumerate(rows):
         for line in (text or "").split("\n"):
-            held[key(line)].add((doc_id, text))
+            held[key(line)].add(row)
     out = []
     for doc_id, text in rows:
         lines = (text or "").split("\n")
@@ -178,3 +178,33 @@ def slot(number, n, key, rounds=6):
         number = left << half | right
         if number < n:
             return number
+
+
+def _shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_duplicates(rows):
+    """(is null, id) of the smallest row of each component of pairs at 0.8 or more, empty texts alike."""
+    distinct = {}
+    for doc_id, text in rows:
+        key = frozenset(_shingles(text))
+        distinct[key] = min(distinct.get(key, (True, float("inf"))), (doc_id is None, doc_id or 0))
+    sets = list(distinct)
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, key in enumerate(sets):
+        least[find(i)] = min(least.get(find(i), (True, float("inf"))), distinct[key])
+    return sorted(least.values())

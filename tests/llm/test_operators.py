@@ -143,7 +143,20 @@ def test_large_components_stay_exact(spark, same):
 
 def test_op4_line_dedup(spark, folder, rows, same):
     wanted = [(*r[:3], brute.sha(r[3].encode())) for r in brute.line_dedup(rows(folder, "documents", "doc_id", "text"))]
-    same(QUERIES["op4_line_dedup"](spark, folder), ["doc_id", "n_lines", "n_dropped", "kept_sha256"], wanted)
+    df = QUERIES["op4_line_dedup"](spark, folder)
+    same(df, ["doc_id", "n_lines", "n_dropped", "kept_sha256"], wanted)
+    columns, found = _sql(folder, "op4_line_dedup")
+    same(df, columns, found)
+
+
+def test_repeated_rows_are_documents_each(spark):
+    rows = [(7, "same line\nother\nsame line")] * 12 + [(None, "rare")] * 9 + [(8, None)] * 11
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.report(df, "doc_id", "text").collect()
+    wanted = brute.line_dedup(rows)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert [tuple(r) for r in sorted(got, key=key)] == sorted(((d, n, k, t or None if d == 8 else t) for d, n, k, t in wanted), key=key)
+    assert {(r["id"], r["n_dropped"]) for r in got} == {(7, 3), (None, 0), (8, 0)}
 
 
 def test_drop_lines_hands_columns_on(spark, messy):

@@ -2,6 +2,8 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -9,15 +11,25 @@ from lexitag.llm.queries import ORACLES
 from tests.llm import brute
 
 
+def _first_of_groups(rows):
+    """Of (doc_id, text, source): the smallest identifier of each group, null last."""
+    stays = brute.near_duplicates([r[:2] for r in rows])
+    out = []
+    for row in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if (row[0] is None, row[0] or 0) in stays:
+            stays.remove((row[0] is None, row[0] or 0))
+            out.append(row)
+    return out
+
+
 def _wanted(folder):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet' WHERE doc_id IS NOT NULL")
+    stored = f"(SELECT *, row_number() OVER () AS r FROM '{folder}/documents.parquet')"
+    con.execute(f"CREATE VIEW documents AS SELECT r AS doc_id, text, lang, source, n_chars FROM {stored}")
     kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({ORACLES['op9_quality']}) WHERE kept").fetchall()}
-    rows = [r for r in con.execute("SELECT DISTINCT doc_id, text, source FROM documents").fetchall() if r[0] in kept]
-    lines = {r[0]: r[3] for r in brute.line_dedup([r[:2] for r in rows])}
-    rows = sorted((d, lines[d], s) for d, _, s in rows)
-    groups = brute.components([brute.fingerprint(t, 5) for _, t, _ in rows])
-    rows = [r for i, r in enumerate(rows) if groups[i] == i]
+    rows = [r[1:] for r in con.execute(f"SELECT r, doc_id, text, source FROM {stored}").fetchall() if r[0] in kept]
+    lines = brute.line_dedup([r[:2] for r in rows])
+    rows = _first_of_groups([(r[0], line[3], r[2]) for r, line in zip(rows, lines)])
     coder = brute.encoding()
     out = []
     for doc_id, text in brute.mixed(rows):
@@ -26,10 +38,24 @@ def _wanted(folder):
     return out
 
 
-def test_pipeline(spark, same):
-    folder = "/root/testdata/sf0.001"
-    got = corpus_pipeline.run(spark, folder)
-    same(got.filter("n_tokens > 0"), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], _wanted(folder))
+@pytest.fixture(scope="module")
+def given(tmp_path_factory):
+    """The smallest given table with repeated rows, and some documents without an identifier."""
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet")
+    copies = table.slice(3, 4)
+    nameless = table.slice(140, 12).set_column(0, "doc_id", pa.nulls(12, pa.int64()))
+    texts = [" ".join(reversed(t.split())) for t in nameless["text"].to_pylist()]
+    nameless = nameless.set_column(1, "text", pa.array(texts, pa.string()))
+    folder = tmp_path_factory.mktemp("given")
+    pq.write_table(pa.concat_tables([table, copies, copies, nameless]), folder / "documents.parquet")
+    return str(folder)
+
+
+def test_pipeline(spark, same, given):
+    got = corpus_pipeline.run(spark, given)
+    wanted = _wanted(given)
+    assert any(w[0] is None for w in wanted)
+    same(got.filter("n_tokens > 0"), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], wanted)
 
 
 @pytest.mark.parametrize("which", ["messy", "empty"])
