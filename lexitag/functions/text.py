@@ -22,9 +22,19 @@ SPACES = (
 )
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def cells(names: Sequence[str]) -> list[Column]:
     """Columns by name, whatever characters a name holds."""
-    return [F.col(f"`{c}`") for c in names]
+    return [column(c) for c in names]
+
+
+def enclosed(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called in_0, in_1 ..., so that no name can clash with a computed one."""
+    return df.toDF(*(f"in_{i}" for i in range(len(df.columns))))
 
 
 def stringify(df: DataFrame, missing: str | None = MISSING, keep: Sequence[str] = ()) -> DataFrame:
@@ -34,10 +44,10 @@ def stringify(df: DataFrame, missing: str | None = MISSING, keep: Sequence[str]
     """
 
     def as_text(name: str) -> Column:
-        text = F.col(f"`{name}`").cast("string")
+        text = column(name).cast("string")
         return (text if missing is None else F.coalesce(text, F.lit(missing))).alias(name)
 
-    return df.select([F.col(f"`{c}`") if c in keep else as_text(c) for c in df.columns])
+    return df.select([column(c) if c in keep else as_text(c) for c in df.columns])
 
 
 def row_text(cols: Sequence[str]) -> Column:

@@ -8,36 +8,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitag.functions import text as tx
+from lexitag.operators.lasting import keep
 from lexitag.operators.lookup import hot_keys, salted_join
 
 
-def _upper_keys(columns: Sequence[str]) -> dict[str, Column]:
-    return {f"_key{i}": F.upper(F.col(f"`{c}`")) for i, c in enumerate(columns)}
-
-
 def split_existing(new: DataFrame, learn: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """(old, rest) of ``new``: old rows equal a learn row in all input columns, letter case aside.
 
     An old row is the first (smallest key) such learn row with its cells, TB_edit 'OLD' and
     TB_qual 100, under the input's row key. Cells are taken as text, so two missing ones are equal.
+    The learn table is grouped once and the input read once: one join by a digest of the columns,
+    whose result is kept and then split. Null and repeated row keys are rows like others.
     """
-    new, learn = (tx.stringify(df, keep=[id_col]) for df in (new, learn))
-    columns = [c for c in new.columns if c != id_col]
-    unknown = set(columns) - set(learn.columns)
+    unknown = set(new.columns) - {id_col} - set(learn.columns)
     if unknown:
         raise ValueError(f"input columns missing from the learn table: {sorted(unknown)}")
-    keys = _upper_keys(columns)
-    learn_columns = [c for c in learn.columns if c != id_col]
-    keyed = learn.withColumns(keys)
-    first = keyed.groupBy(*keys).agg(F.min_by(F.struct(*tx.cells(learn_columns)), id_col).alias("_row"))
-    asked = new.select(id_col, *[k.alias(n) for n, k in keys.items()])
-    hot = hot_keys(asked, list(keys))
-    old = salted_join(asked, first, list(keys), "inner", [id_col], hot).select(
-        id_col, "_row.*", F.lit("OLD").alias("TB_edit"), F.lit(100).alias("TB_qual")
+    names, learn_names = list(new.columns), list(learn.columns)
+    new, learn = (tx.enclosed(tx.stringify(df, keep=[id_col])) for df in (new, learn))
+    at = {c: f"in_{i}" for i, c in enumerate(names)}
+    learn_at = {c: f"in_{i}" for i, c in enumerate(learn_names)}
+    columns = [c for c in names if c != id_col]
+    carried = [c for c in learn_names if c != id_col]
+    keys = ["_digest0", "_digest1"]
+
+    def digests(places: dict[str, str]) -> dict[str, Column]:
+        upper = [F.upper(places[c]) for c in columns]
+        return {k: F.xxhash64(F.lit(i), *upper) for i, k in enumerate(keys)}
+
+    row = F.struct(*[F.col(learn_at[c]).alias(f"l_{i}") for i, c in enumerate(carried)])
+    key = F.col(learn_at[id_col])
+    first = learn.withColumns(digests(learn_at)).groupBy(*keys).agg(
+        F.min_by(row, F.struct(key.isNull(), key)).alias("_row")
+    )
+    asked = new.withColumns(digests(at))
+    joined = salted_join(asked, first, keys, "left", [at[id_col]], hot_keys(asked, keys))
+    same = F.col("_row").isNotNull()  # digests only bring rows together
+    for c in columns:
+        same = same & (F.upper(at[c]) == F.upper(F.col("_row")[f"l_{carried.index(c)}"]))
+    joined = keep(joined.withColumn("_known", F.coalesce(same, F.lit(False))).drop(*keys))
+    own = F.col(at[id_col]).alias(id_col)
+    old = joined.where("_known").select(
+        own,
+        *[F.col("_row")[f"l_{i}"].alias(c) for i, c in enumerate(carried)],
+        F.lit("OLD").alias("TB_edit"),
+        F.lit(100).alias("TB_qual"),
     )
-    known = keyed.select(*keys).distinct()
-    rest = salted_join(new.withColumns(keys), known, list(keys), "left_anti", [id_col], hot)
-    return old, rest.select(tx.cells(new.columns))
+    return old, joined.where("not _known").select([F.col(at[c]).alias(c) for c in names])
 
 
 def split_existing_normalised(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitag.functions import text as tx
@@ -10,6 +10,8 @@ from lexitag.operators.lasting import keep
 from lexitag.operators.lookup import lookup_join, salted_join
 from lexitag.operators.words import tagged_words
 
+SEED = 16  # characters of a word that bring it to a token at most
+CHUNK = 256  # characters of a token whose seeds are made at a time
 LEAST_COUNT = 5  # fixed value: times a word must occur with its tag to be kept by clean_ngrams
 
 
@@ -53,27 +55,52 @@ def clean_ngrams(counted: DataFrame) -> DataFrame:
     return _one_tag(counted.where((F.length("Ngram") > 1) & (F.col("size") >= LEAST_COUNT)))
 
 
+def _seed_size(size: Column) -> Column:
+    """The largest power of two up to ``size`` and SEED."""
+    found = F.lit(1)
+    for power in range(1, SEED.bit_length()):
+        found = F.when(size >= 1 << power, 1 << power).otherwise(found)
+    return found
+
+
 def _containing(tokens: DataFrame, ngrams: DataFrame) -> DataFrame:
-    """``tokens`` (token, ...) x ``ngrams`` where the token contains the word, as an equi-join.
+    """``tokens`` (token, ...) x ``ngrams`` where the token contains the word: seed and verify.
 
-    A word has no white space, so a text contains it where one of its tokens does. Each
-    distinct token gives its substrings of the lengths that words have, and these are joined
-    on equality.
+    A word has no white space, so a text contains it where one of its tokens does. The word's first
+    1, 2, 4 ... or SEED characters, as many as it has, are its seed. Tokens give seeds of the sizes
+    that occur at every place, and where a seed meets that of a word, the word is compared with the
+    token there. Long tokens are cut into overlapping chunks first, so no row holds more than a
+    chunk's seeds.
     """
-    lengths = ngrams.agg(F.array_sort(F.collect_set(F.length("Ngram")))).scalar()
-    size = F.length("token")
-    pieces = F.flatten(
-        F.transform(
-            F.filter(F.col("_lengths"), lambda n: n <= size),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), size - n + 1), lambda at: F.substring("token", at, n)
-            ),
-        )
+    numbered = keep(tokens.withColumn("tid", F.monotonically_increasing_id()))
+    words = ngrams.where(F.length("Ngram") > 0).withColumn("seed_size", _seed_size(F.length("Ngram")))
+    sizes = words.agg(F.array_sort(F.collect_set("seed_size"))).scalar()
+    step = F.explode(F.sequence(F.lit(0), F.floor((F.length("token") - 1) / CHUNK).cast("int"))).alias("part")
+    chunks = numbered.where(F.length("token") > 0).select("tid", "token", step).select(
+        "tid", "part", F.substring("token", F.col("part") * CHUNK + 1, F.lit(CHUNK + SEED - 1)).alias("chunk")
     )
-    parts = tokens.withColumn("_lengths", lengths).withColumn(
-        "Ngram", F.explode(F.array_distinct(pieces))
+    size = F.length("chunk")
+
+    def seeds(n: Column) -> Column:
+        last = F.least(F.lit(CHUNK), size - n + 1)
+        made = F.transform(
+            F.sequence(F.lit(1), last),
+            lambda at: F.struct((F.col("part") * CHUNK + at).alias("pos"), F.substring("chunk", at, n).alias("seed")),
+        )
+        return F.when(last >= 1, made).otherwise(F.array().cast("array<struct<pos:int,seed:string>>"))
+
+    placed = chunks.withColumn("sizes", sizes).select(
+        "tid", F.explode(F.flatten(F.transform("sizes", seeds))).alias("s")
     )
-    return lookup_join(parts.drop("_lengths"), ngrams, ["Ngram"], "inner", ["token"])
+    seeded = words.withColumn("seed", F.substring("Ngram", F.lit(1), F.col("seed_size"))).drop("seed_size")
+    met = lookup_join(placed.select("tid", "s.pos", "s.seed"), seeded, ["seed"], "inner", ["tid", "pos"])
+    # Words as long as their seed are verified; the others are compared where they would lie.
+    whole = F.length("Ngram") == F.length("seed")
+    sure = met.where(whole).select("tid", "Ngram", "ngramTag")
+    maybe = lookup_join(met.where(~whole), numbered.select("tid", "token"), ["tid"], "inner", ["pos"])
+    checked = maybe.where(F.substring("token", F.col("pos"), F.length("Ngram")) == F.col("Ngram"))
+    found = sure.unionByName(checked.select("tid", "Ngram", "ngramTag")).distinct()
+    return lookup_join(found, numbered.select("tid", "token"), ["tid"], "inner", ["Ngram"]).drop("tid")
 
 
 def verified_ngrams(

@@ -12,7 +12,6 @@ from lexitag.operators.lasting import keep
 from lexitag.operators.lookup import lookup_join
 from lexitag.operators.model import TagModel
 from lexitag.operators.similar import similar_words
-from lexitag.operators.words import new_row_words
 
 
 def _decided(hits: DataFrame, tag_cols: Sequence[str], quality: Column) -> DataFrame:
@@ -148,50 +147,54 @@ def tag_rows(
     """New rows, as text, with their tags and TB_qual in learn column order.
 
     A row is decided in the first stage that finds a hit for it. A row without any hit keeps
-    null tags and TB_qual 0. What a stage decided is kept (one narrow row per decided row), as
-    both the next stage and the result read it; so are the rows it left open.
+    null tags and TB_qual 0. Stages see distinct rows as a key and their words; the cells are
+    joined to what was decided once, at the end. The key is a digest of row key and cells, so null
+    and repeated row keys are served like others, and rows alike in all of them get the same tags.
     """
-    new = tx.stringify(new, keep=[id_col])
-    columns = [c for c in new.columns if c != id_col]
+    names = list(new.columns)
+    rows = tx.enclosed(tx.stringify(new, keep=[id_col]))
+    inner = {c: f"in_{i}" for i, c in enumerate(names)}
+    columns = [inner[c] for c in names if c != id_col]
+    rows = rows.withColumn("entry", _row_key(inner[id_col], columns))
     lookups = {
         "unique": (unique_stage, model.unique),
         "multi": (multi_stage, model.multi),
         "similar": (similar_stage, model.unique),
     }
-    open_rows, parts = new, []
+    words = tx.row_words(tx.full_row_text(columns)).alias("words")
+    open_rows, parts = keep(rows.select("entry", words).dropDuplicates(["entry"])), []
     for name in stages:
-        if name == "similar":
-            words = open_rows.select(
-                F.col(id_col).alias("entry"),
-                tx.row_words(tx.full_row_text(columns)).alias("words"),
-            )
-        else:
-            words = new_row_words(open_rows, id_col, columns)
+        asked = open_rows
+        if name != "similar":
+            asked = open_rows.select("entry", F.explode(F.array_distinct("words")).alias("word"))
         stage, vocabulary = lookups[name]
-        part = stage(words, vocabulary, model.tag_cols)
+        part = stage(asked, vocabulary, model.tag_cols)
         if name != stages[-1]:
             part = keep(part)
-            done = part.select(F.col("entry").alias(id_col))
             # the rows still open are few: later stages must not shuffle all rows again
-            open_rows = keep(open_rows.join(done, id_col, "left_anti"))
+            open_rows = keep(open_rows.join(part.select("entry"), "entry", "left_anti"))
         parts.append(part)
     decided = parts[0]
     for part in parts[1:]:
         decided = decided.unionByName(part)
-    decided = decided.select(
-        F.col("entry").alias(id_col), F.col("tags").alias("_tags"), F.col("qual").alias("_qual")
-    )
-    rows = new.drop(*model.tag_cols).join(decided, id_col, "left")
-    return rows.select(
-        id_col,
+    found = lookup_join(rows, keep(decided), ["entry"], "left", [inner[id_col]])
+    return found.select(
+        F.col(inner[id_col]).alias(id_col),
         *[
-            F.col(f"_tags.`{c}`" if c in model.tag_cols else f"`{c}`").alias(c)
+            (F.col("tags")[c] if c in model.tag_cols else F.col(inner[c])).alias(c)
             for c in model.columns
         ],
-        F.coalesce("_qual", F.lit(0)).alias("TB_qual"),
+        F.coalesce("qual", F.lit(0)).alias("TB_qual"),
     )
 
 
+def _row_key(id_col: str, columns: Sequence[str]) -> Column:
+    """A digest of a row's key and its cells, each beside its length."""
+    parts = [F.col(c).cast("string") for c in (id_col, *columns)]
+    whole = F.concat(*(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in parts))
+    return F.unhex(F.md5(whole.cast("binary")))
+
+
 def tag_summary(old: DataFrame, tagged: DataFrame) -> DataFrame:
     """One row of counts: input, known, new, tagged, unclear (quality 1) and untagged rows."""
     known = old.agg(F.count(F.lit(1)).alias("known"))

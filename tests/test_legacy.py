@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher, get_close_matches
 
 from lexitag.operators import legacy, ngrams, profile
@@ -106,6 +107,21 @@ def test_clean_and_verified_words(spark):
     assert sorted((r["id"], r["Ngram"]) for r in got) == [(i, "nut") for i in range(5)]
 
 
+def test_words_inside_long_and_odd_tokens(spark):
+    """Seeds and chunks find every word in every token, whatever their lengths."""
+    rng = random.Random(31)
+    letters = "abé東"
+    tokens = ["".join(rng.choices(letters, k=rng.randrange(1, 40))) for _ in range(120)]
+    long = "".join(rng.choices(letters, k=100_000))
+    tokens += [long, "x" * 700, long[:300]]
+    words = {t[i : i + n] for t in tokens[:40] for n in (1, 2, 3, 5, 8, 13, 17) for i in range(0, max(1, len(t) - n), 7)}
+    words = sorted({*words, long[254:262], long[250:290], long[99_980:], long[:600], "x" * 699, "zz", "aaaaaaaaaaaaaaaaaaaaaaaaab"})
+    asked = spark.createDataFrame([(t,) for t in sorted(set(tokens))], "token string")
+    offered = spark.createDataFrame([(w, "t") for w in words], "Ngram string, ngramTag string")
+    got = {(r["token"], r["Ngram"]) for r in ngrams._containing(asked, offered).collect()}
+    assert got == {(t, w) for t in set(tokens) for w in words if w in t}
+
+
 def plain_similar(entry, learn, variable):
     """Short text first; over 0.95 the joined texts of the filled variable columns as well."""
     short = entry["Text"].replace(" ", "")

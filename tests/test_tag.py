@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexitag.functions.ratio import Block, best_matches
 from lexitag.operators import lookup, similar
 from lexitag.operators.existing import split_existing
+from lexitag.operators.lasting import keep
 from lexitag.operators.model import TagModel, multi_words, rate_words, train, unique_words
 from lexitag.operators.tag import similar_stage, tag_rows
 from test_words import GOLDEN
@@ -26,6 +27,49 @@ def test_golden_tagging(spark):
     assert got == {1: ("a", 100), 2: ("b", 75), 3: ("c", 100), 4: (None, 0)}
 
 
+def test_null_and_repeated_row_keys(spark):
+    new = spark.createDataFrame(
+        [(None, "Y; w", ""), (None, "w", ""), (5, "w", ""), (5, "w,x", ""), (5, "w,x", ""), (None, "qq", "")],
+        "id long, text string, t string",
+    )
+    got = sorted((str(r["id"]), r["text"], str(r["t"]), r["TB_qual"]) for r in tag_rows(new, golden_model(spark), "id").collect())
+    assert got == sorted(
+        [("None", "Y; w", "a", 100), ("None", "w", "b", 75), ("5", "w", "b", 75), ("5", "w,x", "c", 100)]
+        + [("5", "w,x", "c", 100), ("None", "qq", "None", 0)]
+    )
+
+
+def test_names_do_not_clash(spark):
+    """Input columns called like computed ones, or with a backtick, dot or blank in their names."""
+    odd = ["entry", "tags", "qual", "_tags", "_qual", "word", "in_0", "a`b", "a.b", "a b", "_row", "_known"]
+    learn = spark.createDataFrame(
+        [(1, "alpha", "p", *["c"] * len(odd)), (2, "beta", "q", *["c"] * len(odd))], ["id", "text", "t", *odd]
+    )
+    new = spark.createDataFrame([(7, "Beta", "", *["c"] * len(odd)), (8, "ALPHA", "p", *["C"] * len(odd))], learn.schema)
+    old, rest = split_existing(new, learn, "id")
+    assert [(r["id"], r["text"], r["a`b"], r["TB_qual"]) for r in old.collect()] == [(8, "alpha", "c", 100)]
+    assert rest.columns == new.columns and [r["id"] for r in rest.collect()] == [7]
+    model = train(learn, "id", ["t"])
+    got = tag_rows(new, model, "id").collect()
+    assert {(r["id"], r["t"], r["_tags"].lower(), r["a`b"].lower(), r["TB_qual"]) for r in got} == {
+        (7, "q", "c", "c", 100),
+        (8, "p", "c", "c", 100),
+    }
+
+
+def test_stages_shuffle_no_cells(spark, monkeypatch):
+    """What the stages work on are keys and words; the cells are read for the result only."""
+    from lexitag.operators import tag as module
+
+    kept = []
+    monkeypatch.setattr(module, "keep", lambda df: kept.append(df.columns) or keep(df))
+    new = spark.createDataFrame([(1, "Y; w", "")], "id long, text string, t string")
+    result = tag_rows(new, golden_model(spark), "id")
+    assert kept and all("in_1" not in c for c in kept)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(in_" not in plan
+
+
 def test_too_few_hits(spark):
     learn = spark.createDataFrame(
         [(1, "alpha", "p", "u"), (2, "alpha", "p", "v"), (3, "beta", "q", "v")],
@@ -91,6 +135,41 @@ def test_similar_words_over_cells(spark, monkeypatch):
     assert {t: sorted(v, reverse=True) for t, v in got.items()} == {t: v for t, v in want.items() if v}
 
 
+def test_pieces_are_passed_over(spark, monkeypatch):
+    """Seeds let texts pass whole pieces over, by characters alone, and no match is lost."""
+    monkeypatch.setattr(similar, "PIECE", 40)
+    random.seed(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = sorted({"".join(random.choices(letters, k=10)) for _ in range(1500)})
+    tokens = sorted({w[:i] + random.choice(letters) + w[i + 1 :] for w in words[::5] for i in (3,)})
+    asked = spark.createDataFrame([(t,) for t in tokens], "token string")
+    offered = spark.createDataFrame([(w,) for w in words], "word string")
+    shares, whole = [], similar._seeded
+
+    def seeded(reach, first, found, count):
+        rest = whole(reach, first, found, count)
+        shares.append(1 - rest.count() / (reach.count() - first.count()))
+        return rest
+
+    monkeypatch.setattr(similar, "_seeded", seeded)
+    got = {r["token"]: [(r["similarity"], r["word"])] for r in similar.similar_words(asked, offered, 1).collect()}
+    want = {t: brute(t, words, 1, **similar.WORDS) for t in tokens}
+    assert got == {t: v for t, v in want.items() if v}
+    assert shares[0] > 0.2  # 0.27 of all pieces but the first, of random letters
+
+
+def test_long_texts_make_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PIECE_BYTES", 2000)
+    random.seed(22)
+    words = [random_word(150, 400) for _ in range(30)] + ["", "x" * 3000]
+    tokens = [w[: len(w) // 2] + random_word(10, 20) for w in words[:8]] + ["", "none"]
+    asked = spark.createDataFrame([(t,) for t in tokens], "token string")
+    offered = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r["token"]: [(r["similarity"], r["word"])] for r in similar.best_text(asked, offered).collect()}
+    want = {t: brute(t, words, 1, **similar.TEXTS) for t in tokens}
+    assert got == {t: v for t, v in want.items() if v}
+
+
 def test_best_text_over_cells(spark, monkeypatch):
     monkeypatch.setattr(similar, "PIECE", 20)
     random.seed(12)
