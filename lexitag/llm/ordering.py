@@ -98,16 +98,22 @@ class _Tokens:
 
         key = hash((len(ranks), ranks[0], ranks[-1], pattern))
         if key not in cls.held:
-            table = {t: i for i, t in enumerate(ranks)}
-            cls.held = {key: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})}
+            table, end = {t: i for i, t in enumerate(ranks)}, {"<|end|>": len(ranks)}
+            cls.held = {key: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens=end)}
         return cls.held[key]
 
 
+def _ids(text: str | None, coder) -> np.ndarray:
+    """The ids of a text, no list of Python numbers between. The end mark's name is text like any other."""
+    return coder.encode_to_numpy(text or "", disallowed_special=())
+
+
 def _cut(text: str | None, coder, length: int, end: int) -> np.ndarray:
-    """(sequences x length) ids of a text, filled up."""
-    ids = np.array([*coder.encode_ordinary(text or ""), end], np.uint16)
-    out = np.full(-(-len(ids) // length) * length, FILL, np.uint16)
+    """(sequences x length) ids of a text with the end mark, filled up."""
+    ids = _ids(text, coder)
+    out = np.full((len(ids) // length + 1) * length, FILL, np.uint16)
     out[: len(ids)] = ids
+    out[len(ids)] = end
     return out.reshape(-1, length)
 
 
@@ -166,7 +172,7 @@ def write(
             if start:
                 found.append([*start, 0])
             for text in batch.column("text").to_pylist():
-                found[-1][2] += -(-(len(coder.encode_ordinary(text or "")) + 1) // length)
+                found[-1][2] += len(_ids(text, coder)) // length + 1
         if found:
             file, row, n = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(file), pa.array(row, pa.int64()), pa.array(n, pa.int64())], ["file", "row", "n"])

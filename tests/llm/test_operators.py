@@ -40,6 +40,18 @@ def test_op1_training_order(spark, folder, rows, same):
     same(QUERIES["op1_training_order"](spark, folder), columns, wanted)
 
 
+def test_ids_take_the_end_mark_for_text():
+    import public_tokenizers as tokenizers
+
+    from lexitag.llm.bpe import read_ranks
+
+    coder = ordering._Tokens.of(read_ranks(tokenizers.path("byte_bpe_50k.tiktoken")), tokenizers.PATTERN)
+    for text in ("", "a<|end|>b <|end|>", "<|e<|end|>", "\u00e9<|endoftext|>\u00fc", "x" * 100_000):
+        assert ordering._ids(text, coder).tolist() == brute.encoding().encode_ordinary(text)
+        cut = ordering._cut(text, coder, 64, 50256)
+        assert cut.shape[1] == 64 and cut[cut != ordering.FILL].tolist() == [*brute.encoding().encode_ordinary(text), 50256]
+
+
 def test_shards_are_read_on_from_any_slot(spark, tmp_path):
     import public_tokenizers as tokenizers
 
