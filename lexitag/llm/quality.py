@@ -8,8 +8,10 @@ quartiles. A document is rejected where a ratio lies further outside its group's
 ``REACH`` times their distance (and a least distance), more being allowed to short texts, whose
 ratios vary more. Two base rules, on too few words and on repeated word sequences, are fixed.
 
-Groups of fewer than ``LEAST`` documents use the merged sketch of their language, and languages
-of fewer use the sketch of all documents.
+Every group has thresholds of its own, of its sketch with that of its language merged in at the fixed
+weight of ``PRIOR`` documents; into the language's sketch that of all documents is merged likewise. So
+few documents lean on the others and many hardly do, by one rule at every size. Weights are whole
+numbers of up to 38 digits, exact below 10^12 documents.
 
 Defined cases: a null text has no words and fails the base rules; a null language or source is a
 group of its own; repeated rows count and are decided each; no documents give no rows; other
@@ -30,10 +32,9 @@ REPEAT_WINDOW = 5
 REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 REACH = 6
-LEAST = 100
+PRIOR = 100
 #: Least distance between quartiles that counts, and whether low values are rejected too.
 RATIOS = {"word_length": (150, True), "symbol_rate": (25, False), "line_rate": (100, False)}
-_TOP = 1_000_000  # distances beyond it count as it
 
 
 def _with_counts(rows: DataFrame, text: str) -> DataFrame:
@@ -109,20 +110,24 @@ def _bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
-def sketches(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, ratio, bucket, count): one mergeable histogram per group and ratio.
-
-    Documents that fail the base rule on words are left out, as their ratios say little.
-    """
+def _ratios(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """(lang, source, n_words, the ratios) of every document."""
     rows = docs.select(
         quoted(text_col).alias("text"),
         group_key(quoted(lang_col)).alias("lang"),
         group_key(quoted(source_col)).alias("source"),
     )
+    return _with_counts(rows, "text").select("lang", "source", "n_words", *RATIOS)
+
+
+def sketches(counted: DataFrame) -> DataFrame:
+    """(lang, source, ratio, bucket, count): one mergeable histogram per group and ratio.
+
+    Documents that fail the base rule on words are left out, as their ratios say little.
+    """
     values = F.array(*(F.struct(F.lit(r).alias("ratio"), _bucket(F.col(r)).alias("bucket")) for r in RATIOS))
     return (
-        _with_counts(rows, "text")
-        .filter(F.col("n_words") >= MIN_WORDS)
+        counted.filter(F.col("n_words") >= MIN_WORDS)
         .select("lang", "source", F.explode(values).alias("v"))
         .groupBy("lang", "source", "v.ratio", "v.bucket")
         .agg(F.count(F.lit(1)).alias("count"))
@@ -130,42 +135,51 @@ def sketches(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, and low and high of each ratio's quartiles), by the group or what it merges into."""
-    levels = (
-        sketch.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-        .withColumn("l", F.when(F.col("level") < 2, F.col("lang")).otherwise(F.lit("")))
-        .withColumn("s", F.when(F.col("level") < 1, F.col("source")).otherwise(F.lit("")))
-        .groupBy("level", "l", "s", "ratio", "bucket")
-        .agg(F.sum("count").alias("count"))
-    )
-    group = Window.partitionBy("level", "l", "s", "ratio")
-    cumulated = levels.withColumn("total", F.sum("count").over(group)).withColumn(
-        "upto", F.sum("count").over(group.orderBy("bucket"))
+    """(lang, source, and low and high of each ratio's quartiles), by the group's merged sketch.
+
+    A sketch becomes one array: it has at most 256 buckets per binary digit of a value.
+    """
+
+    def arrays(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        buckets = F.collect_list(F.struct("bucket", F.col("count").alias("c"))).alias(name)
+        return rows.groupBy(*keys, "ratio").agg(buckets, F.sum("count").cast("decimal(12,0)").alias(f"n_{name}"))
+
+    by_lang = sketch.groupBy("lang", "ratio", "bucket").agg(F.sum("count").alias("count"))
+    of_all = arrays(by_lang.groupBy("ratio", "bucket").agg(F.sum("count").alias("count")), [], "every")
+    of_lang = keep(arrays(by_lang, ["lang"], "tongue"))
+    groups = lookup_join(arrays(sketch, ["lang", "source"], "own"), of_lang, ["lang", "ratio"], salt_by=["source"])
+    groups = groups.join(F.broadcast(of_all), "ratio")  # a row per ratio
+
+    whole = lambda c: c.cast("decimal(12,0)")
+    long = lambda c: c.cast("decimal(38,0)")
+    prior, n_all, n_lang = F.lit(PRIOR), F.col("n_every"), whole(F.col("n_tongue") + PRIOR)
+
+    def weighted(name: str, weight) -> Column:
+        return F.transform(name, lambda x: F.struct(x["bucket"].alias("b"), long(weight(whole(x["c"]))).alias("w")))
+
+    merged = F.array_sort(
+        F.concat(
+            weighted("own", lambda c: c * n_all * n_lang),
+            weighted("tongue", lambda c: c * n_all * prior),
+            weighted("every", lambda c: c * (prior * prior)),
+        )
     )
-    quartiles = cumulated.groupBy("level", "l", "s").agg(
+    total = long(whole(F.col("n_own") + PRIOR) * n_all * n_lang)
+
+    def step(so_far: Column, x: Column) -> Column:
+        upto = long(so_far["upto"] + x["w"])
+        reached = lambda q, name: F.coalesce(so_far[name], F.when(upto * 4 >= total * q, x["b"]))
+        return F.struct(upto.alias("upto"), reached(1, "low").alias("low"), reached(3, "high").alias("high"))
+
+    none = F.lit(None).cast("long")
+    start = F.struct(long(F.lit(0)).alias("upto"), none.alias("low"), none.alias("high"))
+    quartiles = groups.select("lang", "source", "ratio", F.aggregate(merged, start, step).alias("q"))
+    return quartiles.groupBy("lang", "source").agg(
         *(
-            F.min(F.when((F.col("ratio") == r) & (F.col("upto") * 4 >= F.col("total") * q), F.col("bucket"))).alias(
-                f"{r}_{name}"
-            )
+            F.max(F.when(F.col("ratio") == r, F.col("q")[name])).alias(f"{r}_{name}")
             for r in RATIOS
-            for q, name in ((1, "low"), (3, "high"))
-        ),
-        F.max("total").alias("total"),
-    )
-    names = [f"{r}_{name}" for r in RATIOS for name in ("low", "high")]
-    groups = (
-        sketch.select("lang", "source")
-        .distinct()
-        .withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-        .withColumn("l", F.when(F.col("level") < 2, F.col("lang")).otherwise(F.lit("")))
-        .withColumn("s", F.when(F.col("level") < 1, F.col("source")).otherwise(F.lit("")))
-    )
-    enough = (F.col("total") >= LEAST) | (F.col("level") == 2)
-    return (
-        groups.join(quartiles.filter(enough), ["level", "l", "s"])
-        .groupBy("lang", "source")
-        .agg(F.min_by(F.struct(*names), "level").alias("q"))
-        .select("lang", "source", "q.*")
+            for name in ("low", "high")
+        )
     )
 
 
@@ -175,15 +189,25 @@ def _outside(ratio: str) -> Column:
     value, low, high = F.col(ratio), F.col(f"{ratio}_low"), F.col(f"{ratio}_high")
     over = value - high
     off = F.greatest(over, low - value) if both else over
-    off = F.least(F.greatest(off, F.lit(0)), F.lit(_TOP))
-    reach = REACH * F.least(F.greatest(high - low, F.lit(least)), F.lit(_TOP))
-    beyond = off * off * F.least(F.col("n_words"), F.lit(100)) > reach * reach * 100
+    off = F.greatest(off, F.lit(0)).cast("decimal(14,0)")  # a text's length and three digits
+    reach = (REACH * F.greatest(high - low, F.lit(least))).cast("decimal(14,0)")
+    beyond = off * off * F.least(F.col("n_words"), F.lit(100)).cast("decimal(3,0)") > reach * reach * 100
     return F.coalesce(beyond, F.lit(False))
 
 
-def _decided(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """The enclosed documents with counts, base_failed and kept."""
-    limits = keep(thresholds(keep(sketches(docs, text_col, lang_col, source_col))))
+def _judged(counted: DataFrame, sketch: DataFrame, salt_by: list[str]) -> DataFrame:
+    """Rows with lang, source, counts and ratios -> the same with base_failed and kept."""
+    limits = keep(thresholds(keep(sketch)))
+    joined = lookup_join(counted, limits, ["lang", "source"], "left", salt_by=salt_by)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    rejected = failed
+    for ratio in RATIOS:
+        rejected = rejected | _outside(ratio)
+    return joined.withColumns({"base_failed": failed, "kept": ~rejected})
+
+
+def _counted(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """The enclosed documents with lang, source, all counts and the ratios."""
     rows = enclose(docs).withColumns(
         {
             "lang": group_key(F.col(inner(docs, lang_col))),
@@ -191,35 +215,29 @@ def _decided(docs: DataFrame, text_col: str, lang_col: str, source_col: str) ->
         }
     )
     text = inner(docs, text_col)
-    # The counts are worked out once a row: a filter on them is not pushed below the row number,
-    # where it would repeat their expressions in place of every use.
-    rows = _with_repeats(_with_counts(rows, text), text).withColumn("q_row", F.monotonically_increasing_id())
-    joined = lookup_join(rows, limits, ["lang", "source"], "left", salt_by=[text])
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    rejected = failed
-    for ratio in RATIOS:
-        rejected = rejected | _outside(ratio)
-    return joined.withColumns({"base_failed": failed, "kept": ~rejected})
+    return _with_repeats(_with_counts(rows, text), text)
 
 
 def decide(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(id, counts, base_failed, kept) of every document, one row per input row; a kept narrow table."""
-    decided = _decided(docs, text_col, lang_col, source_col).select(
-        F.col(inner(docs, id_col)).alias("id"),
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        "kept",
+    """(id, counts, base_failed, kept) of every document, one row per input row; a kept narrow table.
+
+    The texts are read once: counts and ratios go to a narrow table, and sketches and verdicts come from it.
+    """
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    narrow = _counted(docs, text_col, lang_col, source_col).select(
+        F.col(inner(docs, id_col)).alias("id"), "lang", "source", *counts, *RATIOS
     )
-    return keep(decided)
+    narrow = keep(narrow)
+    return keep(_judged(narrow, sketches(narrow), ["id", *counts]).select("id", *counts, "base_failed", "kept"))
 
 
 def keep_documents(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """The input rows that the rules keep, with the columns they came with."""
-    return reopen(_decided(docs, text_col, lang_col, source_col).filter("kept and q_row >= 0"), docs)
+    # The counts are worked out once a row: a filter on them is not pushed below the row number,
+    # where it would repeat their expressions in place of every use.
+    rows = _counted(docs, text_col, lang_col, source_col).withColumn("q_row", F.monotonically_increasing_id())
+    judged = _judged(rows, sketches(_ratios(docs, text_col, lang_col, source_col)), [inner(docs, text_col)])
+    return reopen(judged.filter("kept and q_row >= 0"), docs)
 
 
 #: The same in DuckDB SQL over ``documents``, with the constants above.
@@ -264,39 +282,41 @@ valued AS (
 bucketed AS (
   SELECT lang, source, ratio, ((v >> greatest(length(bin(v)) - 9, 0)) << greatest(length(bin(v)) - 9, 0)) AS bucket
   FROM valued),
-levels AS (
-  SELECT level, CASE WHEN level < 2 THEN lang ELSE '' END AS l, CASE WHEN level < 1 THEN source ELSE '' END AS s,
-         ratio, bucket, count(*) AS c
-  FROM bucketed CROSS JOIN (SELECT unnest([0, 1, 2]) AS level) GROUP BY ALL),
+own AS (SELECT lang, source, ratio, bucket, count(*)::HUGEINT AS c FROM bucketed GROUP BY ALL),
+tongue AS (SELECT lang, ratio, bucket, sum(c) AS c FROM own GROUP BY ALL),
+every AS (SELECT ratio, bucket, sum(c) AS c FROM own GROUP BY ALL),
+sizes AS (
+  SELECT lang, source, ratio, n, nl, na
+  FROM (SELECT lang, source, ratio, sum(c) AS n FROM own GROUP BY ALL)
+  JOIN (SELECT lang, ratio, sum(c) AS nl FROM tongue GROUP BY ALL) USING (lang, ratio)
+  JOIN (SELECT ratio, sum(c) AS na FROM every GROUP BY ALL) USING (ratio)),
+weighted AS (
+  SELECT lang, source, ratio, bucket, c * na * (nl + 100) AS w FROM own JOIN sizes USING (lang, source, ratio)
+  UNION ALL SELECT lang, source, ratio, bucket, c * na * 100 FROM tongue JOIN sizes USING (lang, ratio)
+  UNION ALL SELECT lang, source, ratio, bucket, c * 10000 FROM every JOIN sizes USING (ratio)),
+merged AS (SELECT lang, source, ratio, bucket, sum(w) AS w FROM weighted GROUP BY ALL),
 cumulated AS (
-  SELECT *, sum(c) OVER (PARTITION BY level, l, s, ratio) AS total,
-         sum(c) OVER (PARTITION BY level, l, s, ratio ORDER BY bucket) AS upto
-  FROM levels),
+  SELECT lang, source, ratio, bucket, (n + 100) * na * (nl + 100) AS total,
+         sum(w) OVER (PARTITION BY lang, source, ratio ORDER BY bucket) AS upto
+  FROM merged JOIN sizes USING (lang, source, ratio)),
 quartiles AS (
-  SELECT level, l, s, max(total) AS total,
+  SELECT lang, source,
     min(bucket) FILTER (ratio = 'word_length' AND upto * 4 >= total) AS wl,
     min(bucket) FILTER (ratio = 'word_length' AND upto * 4 >= total * 3) AS wh,
     min(bucket) FILTER (ratio = 'symbol_rate' AND upto * 4 >= total) AS sl,
     min(bucket) FILTER (ratio = 'symbol_rate' AND upto * 4 >= total * 3) AS sh,
     min(bucket) FILTER (ratio = 'line_rate' AND upto * 4 >= total) AS ll,
     min(bucket) FILTER (ratio = 'line_rate' AND upto * 4 >= total * 3) AS lh
-  FROM cumulated GROUP BY level, l, s),
-ranked AS (
-  SELECT x.*, q.wl, q.wh, q.sl, q.sh, q.ll, q.lh,
-         row_number() OVER (PARTITION BY x.r ORDER BY q.level) AS choice
-  FROM ratios x LEFT JOIN quartiles q
-    ON q.l = CASE WHEN q.level < 2 THEN x.lang ELSE '' END
-   AND q.s = CASE WHEN q.level < 1 THEN x.source ELSE '' END
-   AND (q.total >= 100 OR q.level = 2)),
+  FROM cumulated GROUP BY lang, source),
 verdicts AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    least(greatest(word_length - wh, wl - word_length, 0), 1000000) AS off_words,
-    least(greatest(symbol_rate - sh, 0), 1000000) AS off_symbols,
-    least(greatest(line_rate - lh, 0), 1000000) AS off_lines,
-    6 * least(greatest(wh - wl, 150), 1000000) AS reach_words,
-    6 * least(greatest(sh - sl, 25), 1000000) AS reach_symbols,
-    6 * least(greatest(lh - ll, 100), 1000000) AS reach_lines
-  FROM ranked WHERE choice = 1)
+    greatest(word_length - wh, wl - word_length, 0)::HUGEINT AS off_words,
+    greatest(symbol_rate - sh, 0)::HUGEINT AS off_symbols,
+    greatest(line_rate - lh, 0)::HUGEINT AS off_lines,
+    6 * greatest(wh - wl, 150)::HUGEINT AS reach_words,
+    6 * greatest(sh - sl, 25)::HUGEINT AS reach_symbols,
+    6 * greatest(lh - ll, 100)::HUGEINT AS reach_lines
+  FROM ratios LEFT JOIN quartiles USING (lang, source))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed
     OR coalesce(off_words * off_words * least(n_words, 100) > reach_words * reach_words * 100, false)

@@ -332,6 +332,60 @@ def test_keep_documents_hands_columns_on(spark, messy):
     assert {300, 301, 303, 308}.isdisjoint(r["doc_id"] for r in got.collect())
 
 
+def _merged_quartiles(rows):
+    """Plain thresholds: rows of (lang, source, ratio, bucket, count)."""
+    prior, found = quality.PRIOR, {}
+    for lang, source, ratio in {r[:3] for r in rows}:
+        every = [r for r in rows if r[2] == ratio]
+        tongue = [r for r in every if r[0] == lang]
+        own = [r for r in tongue if r[1] == source]
+        n_all, n_lang, n = (sum(r[4] for r in part) for part in (every, tongue, own))
+        at = {}
+        for part, weight in ((own, n_all * (n_lang + prior)), (tongue, prior * n_all), (every, prior * prior)):
+            for r in part:
+                at[r[3]] = at.get(r[3], 0) + weight * r[4]
+        assert sum(at.values()) == (n + prior) * n_all * (n_lang + prior)
+        for q, name in ((1, "low"), (3, "high")):
+            upto = 0
+            for bucket in sorted(at):
+                upto += at[bucket]
+                if upto * 4 >= sum(at.values()) * q:
+                    found[lang, source, f"{ratio}_{name}"] = bucket
+                    break
+    return found
+
+
+def test_every_group_has_thresholds_of_its_own(spark):
+    import random
+
+    rng, rows = random.Random(4), []
+    for k, lang in enumerate(("=en", "=de", "")):
+        for i in range(5):
+            for ratio in quality.RATIOS:
+                for b in rng.sample(range(200), 30):
+                    rows.append((lang, f"=s{i}", ratio, 4_000 + 300 * i + 2 * b, rng.randrange(1, 2 + 10 ** (k + 1))))
+    rows += [("=xx", "=one", r, 3 * 10**12, 1) for r in quality.RATIOS]  # a lone document leans on the others
+    rows += [("=big", "=all", r, 5_000 + b, 3 * 10**9) for r in quality.RATIOS for b in (0, 16, 32, 48)]
+    sketch = spark.createDataFrame(rows, "lang string, source string, ratio string, bucket long, count long")
+    got = {
+        (r["lang"], r["source"], name): r[name]
+        for r in quality.thresholds(sketch).collect()
+        for name in r.asDict()
+        if name not in ("lang", "source")
+    }
+    assert got == _merged_quartiles(rows)
+    highs = [got["=en", f"=s{i}", "word_length_high"] for i in range(5)]
+    assert len(set(highs)) > 1 and got["=xx", "=one", "word_length_high"] < 10_000
+
+
+def test_small_groups_have_thresholds_of_their_own(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sketch = quality.sketches(quality._ratios(docs, "text", "lang", "source")).cache()
+    found = quality.thresholds(sketch).collect()
+    assert len(found) == sketch.select("lang", "source").distinct().count() > 10
+    assert len({tuple(r)[2:] for r in found}) > len({r["lang"] for r in found})
+
+
 def test_quality_labels_agree(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
