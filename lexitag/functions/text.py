@@ -50,6 +50,13 @@ def stringify(df: DataFrame, missing: str | None = MISSING, keep: Sequence[str]
     return df.select([column(c) if c in keep else as_text(c) for c in df.columns])
 
 
+def digest(cols: Sequence[str]) -> Column:
+    """128 bits of the cells of the columns, each beside its length; a missing cell is like no other."""
+    parts = [F.col(c).cast("string") for c in cols]
+    told = (F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in parts)
+    return F.unhex(F.md5(F.concat(*told).cast("binary")))
+
+
 def row_text(cols: Sequence[str]) -> Column:
     """Text of a learn row: its data cells joined by one space."""
     return F.concat_ws(" ", *cells(cols))

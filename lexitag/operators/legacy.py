@@ -8,41 +8,69 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitag.functions import text as tx
 from lexitag.operators.lasting import keep
-from lexitag.operators.lookup import lookup_join, salted_join
-from lexitag.operators.profile import fill_columns
-from lexitag.operators.similar import best_text
+from lexitag.operators.lookup import lookup_join
+from lexitag.operators.profile import filled, joined_fill
+from lexitag.operators.similar import best_of_kind
 from lexitag.operators.words import text_words
 
 IRRELEVANT = "y"  # fixed value: tag of rows that are not relevant
 SURE = 0.95  # fixed value: quality over which the long texts are compared as well
 
 
-def _ngram_hits(rows: DataFrame, ngrams: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, result, conflict): tag of the last known word of a row, and whether tags differ."""
-    words = text_words(rows, id_col, text)
-    hits = lookup_join(words, ngrams.select("Ngram", "ngramTag"), ["Ngram"], "inner", ["entry", "pos"])
-    return hits.groupBy(F.col("entry").alias(id_col)).agg(
-        F.max_by("ngramTag", "pos").alias("_result"),
-        (F.min("ngramTag") != F.max("ngramTag")).alias("_conflict"),
-    )
+def _places(rows: DataFrame) -> dict[str, str]:
+    """Where the columns of a table are once it is enclosed, so that no name clashes with a computed one."""
+    return {c: f"in_{i}" for i, c in enumerate(rows.columns)}
+
 
+def _with_hits(rows: DataFrame, ngrams: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Enclosed rows with said (tag of the last known word), clash (do tags differ) and known.
 
-def _mark(rows: DataFrame, tagged: Column, tag: Column, conflict: Column) -> DataFrame:
-    """Set Tag/Edit/Quality: '' and 1 where ``tagged``, 'NEW' and 0 where ``conflict``."""
-    quality = F.col("Quality") if "Quality" in rows.columns else F.lit(None).cast("double")
-    edit = F.col("Edit") if "Edit" in rows.columns else F.lit("")
-    return rows.withColumns(
-        {
-            "Tag": F.when(tagged, tag).otherwise(F.col("Tag")),
-            "Edit": F.when(conflict, "NEW").when(tagged, "").otherwise(edit),
-            "Quality": F.when(conflict, 0.0).when(tagged, 1.0).otherwise(quality),
-        }
+    Words are looked up once per distinct text, so null and repeated row keys are rows like others.
+    """
+    at = _places(rows)
+    inside = tx.enclosed(rows).withColumn("key", F.unhex(F.md5(at[text])))
+    texts = inside.where("key is not null").select("key", at[text]).dropDuplicates(["key"])
+    words = text_words(texts, "key", at[text])
+    vocabulary = ngrams.select("Ngram", "ngramTag")
+    hits = lookup_join(words, vocabulary, ["Ngram"], "inner", ["entry", "pos"])
+    said = hits.groupBy(F.col("entry").alias("key")).agg(
+        F.max_by("ngramTag", "pos").alias("said"),
+        (F.min("ngramTag") != F.max("ngramTag")).alias("clash"),
     )
+    joined = lookup_join(inside, keep(said), ["key"], "left", [at[id_col]])
+    return joined.withColumn("clash", F.coalesce("clash", F.lit(False)))
+
+
+def _marked(
+    inside: DataFrame,
+    rows: DataFrame,
+    tagged: Column,
+    tag: Column | str,
+    conflict: Column,
+    cells: dict[str, Column] | None = None,
+) -> DataFrame:
+    """``rows`` again, Tag/Edit/Quality set: '' and 1 where ``tagged``, 'NEW' and 0 where ``conflict``."""
+    at = _places(rows)
+    quality = F.col(at["Quality"]) if "Quality" in at else F.lit(None).cast("double")
+    edit = F.col(at["Edit"]) if "Edit" in at else F.lit("")
+    tag = F.lit(tag) if isinstance(tag, str) else tag
+    new = {
+        "Tag": F.when(tagged, tag).otherwise(F.col(at["Tag"])),
+        "Edit": F.when(conflict, "NEW").when(tagged, "").otherwise(edit),
+        "Quality": F.when(conflict, 0.0).when(tagged, 1.0).otherwise(quality),
+    }
+    return _reopened(inside, rows, (cells or {}) | new)
+
+
+def _reopened(inside: DataFrame, rows: DataFrame, new: dict[str, Column]) -> DataFrame:
+    at = _places(rows)
+    names = [*at, *(c for c in ("Edit", "Quality") if c not in at)]
+    return inside.select([(new[c] if c in new else F.col(at[c])).alias(c) for c in names])
 
 
 def split_tagged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,11 +81,10 @@ def split_tagged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def tag_relevance(rows: DataFrame, ngrams: DataFrame, id_col: str, text: str = "Text") -> DataFrame:
     """Tag rows whose known words all say not_relevant; words of both kinds mark the row NEW."""
-    hits = _ngram_hits(rows, ngrams, id_col, text)
-    joined = rows.join(hits, id_col, "left")
-    conflict = F.coalesce("_conflict", F.lit(False))
-    irrelevant = F.coalesce(F.col("_result") == "not_relevant", F.lit(False)) & ~conflict
-    return _mark(joined, irrelevant, F.lit(IRRELEVANT), conflict).drop("_result", "_conflict")
+    inside = _with_hits(rows, ngrams, id_col, text)
+    conflict = F.col("clash")
+    irrelevant = F.coalesce(F.col("said") == "not_relevant", F.lit(False)) & ~conflict
+    return _marked(inside, rows, irrelevant, IRRELEVANT, conflict)
 
 
 def tag_by_ngram(
@@ -69,55 +96,43 @@ def tag_by_ngram(
     text: str = "Text",
 ) -> DataFrame:
     """Tag rows whose known words all name one tag and fill their empty companion cells."""
-    hits = _ngram_hits(rows, ngrams, id_col, text)
-    joined = rows.join(hits, id_col, "left")
-    conflict = F.coalesce("_conflict", F.lit(False))
-    tagged = F.col("_result").isNotNull() & ~conflict
-    marked = _mark(joined, tagged, F.col("_result"), conflict)
+    at = _places(rows)
+    inside = _with_hits(rows, ngrams, id_col, text)
+    tagged = F.col("said").isNotNull() & ~F.col("clash")
+    cells = {}
     if fill is not None and fill_cols:
-        marked = marked.withColumn("_tag", F.when(tagged, F.col("_result")))
-        values = fill.withColumnRenamed("Tag", "_tag")
-        wide = values.select("Col", F.col("_tag").alias("Tag"), "Val")
-        marked = fill_columns(marked, wide, fill_cols, id_col, tag="_tag").drop("_tag")
-    return marked.drop("_result", "_conflict")
+        inside = joined_fill(inside.withColumn("tag", F.when(tagged, F.col("said"))), fill, fill_cols, at[id_col])
+        cells = {c: filled(F.col(at[c]), F.col(f"fill_{i}")) for i, c in enumerate(fill_cols)}
+    return _marked(inside, rows, tagged, F.col("said"), F.col("clash"), cells)
 
 
 def tag_by_column(rows: DataFrame, column_tags: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
     """Tag rows in which some cell is a value of a not_relevant column vocabulary."""
-    cells = rows.select(F.col(id_col), *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    long = cells.unpivot([id_col], tx.cells(cols), "col", "val")
+    at = _places(rows)
+    inside = tx.enclosed(rows).withColumn("key", tx.digest([at[c] for c in cols]))
+    cells = [F.struct(F.lit(c).alias("col"), F.col(at[c]).cast("string").alias("val")) for c in cols]
+    long = inside.dropDuplicates(["key"]).select("key", F.explode(F.array(*cells)).alias("cell")).select("key", "cell.*")
     said = column_tags.where(F.col("Tag") == "not_relevant").select("col", "val")
-    hits = lookup_join(long, said, ["col", "val"], "left_semi", [id_col])
-    hits = hits.select(id_col).distinct().withColumn("_hit", F.lit(True))
-    joined = rows.join(hits, id_col, "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    return _mark(joined, hit, F.lit(IRRELEVANT), F.lit(False)).drop("_hit")
-
-
-def _nearest_row(
-    asked: DataFrame, learned: DataFrame, id_col: str, learn_id: str, take: Sequence[str]
-) -> DataFrame:
-    """``asked`` (id, _text) -> (id, _ratio, _taken): the ``take`` cells of the first learn row
-    (id, _text, ...) with the most similar text; several rows may share ``learned`` texts."""
-    first = learned.groupBy("_text").agg(F.min_by(F.struct(*tx.cells(take)), learn_id).alias("_taken"))
-    near = best_text(
-        asked.select(F.col("_text").alias("token")), learned.select(F.col("_text").alias("word"))
-    )
-    named = near.withColumnRenamed("word", "_text")
-    matched = lookup_join(named, first, ["_text"], "inner", ["token"]).select(
-        F.col("token").alias("_text"),
-        F.round("similarity", 2).alias("_ratio"),
-        "_taken",
-    )
-    return lookup_join(asked, keep(matched), ["_text"], "inner", [id_col]).select(
-        id_col, "_ratio", "_taken"
-    )
+    hits = lookup_join(long, said, ["col", "val"], "left_semi", ["key"])
+    found = keep(hits.select("key").distinct().withColumn("hit", F.lit(True)))
+    joined = lookup_join(inside, found, ["key"], "left", [at[id_col]])
+    return _marked(joined, rows, F.coalesce("hit", F.lit(False)), IRRELEVANT, F.lit(False))
 
 
 def _spaceless(cell: Column) -> Column:
     return tx.drop_spaces(F.coalesce(cell.cast("string"), F.lit("None")))
 
 
+def _nearest(asked: DataFrame, learned: DataFrame, ratio: str, taken: str) -> DataFrame:
+    """(kind, token), (kind, word, row, taken) -> (key, ratio, taken): the cells taken from the first learn
+    row with the most similar text of the kind, by a digest of kind and text."""
+    first = learned.groupBy("kind", "word").agg(F.min_by("taken", "row").alias(taken))
+    near = keep(best_of_kind(asked, learned.select("kind", "word")))
+    matched = lookup_join(near, first, ["kind", "word"], "inner", ["token"])
+    key = tx.digest(["kind", "token"]).alias(f"{ratio}_key")
+    return keep(matched.select(key, F.round("similarity", 2).alias(ratio), taken))
+
+
 def tag_similar(
     rows: DataFrame,
     learn: DataFrame,
@@ -131,54 +146,51 @@ def tag_similar(
     Texts are compared without spaces. If that quality is over 0.95 and ``variable`` columns are
     given, the joined texts of these columns decide instead where they reach a better quality.
     Only the columns in which an input row has more than one character take part for that row,
-    on both sides, so the learn texts are built once per such set of columns that occurs.
+    on both sides. Which these are is the kind of a joined text: the learn texts are built once per
+    kind that occurs, and one join by kind serves all of them.
     """
+    at, learn_at = _places(rows), _places(learn)
     take = ["Tag", *[c for c in fill_cols if c != "Tag"]]
-    asked = rows.select(id_col, _spaceless(F.col(text)).alias("_text"))
-    learned = learn.select(id_col, _spaceless(F.col(text)).alias("_text"), *tx.cells(take))
-    short = _nearest_row(asked, learned, id_col, id_col, take)
+    wide = [F.col(learn_at[c]) for c in variable]
+    learned = tx.enclosed(learn).select(
+        F.col(learn_at[id_col]).alias("row"),
+        F.lit("").alias("kind"),
+        _spaceless(F.col(learn_at[text])).alias("word"),
+        F.struct(*[F.col(learn_at[c]).alias(f"t_{i}") for i, c in enumerate(take)]).alias("taken"),
+        F.array(*[_spaceless(c) for c in wide]).cast("array<string>").alias("cells"),
+    )
+    inside = tx.enclosed(rows).withColumns({"kind": F.lit(""), "token": _spaceless(F.col(at[text]))})
+    inside = inside.withColumn("short_key", tx.digest(["kind", "token"]))
+    short = _nearest(inside.select("kind", "token"), learned, "short", "short_taken")
+    joined = lookup_join(inside, short, ["short_key"], "left", [at[id_col]])
+    ratio, taken = F.col("short"), F.col("short_taken")
 
     if variable:
-        short = keep(short)
-        sure = rows.join(short.where(F.col("_ratio") > SURE).select(id_col), id_col, "left_semi")
-        cells = {c: _spaceless(F.col(f"`{c}`")) for c in variable}
-        filled_in = [F.col(f"`{c}`").isNotNull() & (F.length(cells[c]) > 1) for c in variable]
-        used = F.concat(*[f.cast("int").cast("string") for f in filled_in])
-        asked_long = sure.select(id_col, used.alias("_used"), *[v.alias(c) for c, v in cells.items()])
-        # patterns of filled columns that occur: a matter of the schema, not of the row count
-        sets = sorted(r["_used"] for r in asked_long.select("_used").distinct().collect())
-        long_parts = []
-        for used_set in sets:  # one learn text per row and occurring set of columns
-            names = [c for c, flag in zip(variable, used_set) if flag == "1"]
-            if not names:
-                continue
-            joined = F.concat(*[F.col(f"`{c}`") for c in names])
-            asked_set = asked_long.where(F.col("_used") == used_set)
-            learned_set = learn.select(
-                id_col, F.concat(*[cells[c] for c in names]).alias("_text"), *tx.cells(take)
-            )
-            long_parts.append(
-                _nearest_row(
-                    asked_set.select(id_col, joined.alias("_text")), learned_set, id_col, id_col, take
-                )
-            )
-        found = short.withColumn("_pass", F.lit(0))
-        for part in long_parts:
-            found = found.unionByName(part.withColumn("_pass", F.lit(1)))
-        best = Window.partitionBy(id_col).orderBy(F.desc("_ratio"), "_pass")
-        short = found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_pass")
-
-    joined = rows.join(short, id_col, "left")
-
-    def filled(name: str) -> Column:
-        cell = F.col(f"`{name}`")
-        return F.coalesce(F.nullif(cell, F.lit("")), F.col(f"_taken.`{name}`"), cell)
-
-    return joined.withColumns(
-        {
-            "Tag": F.coalesce(F.col("_taken.Tag"), F.lit("")),
-            "Quality": F.coalesce("_ratio", F.lit(0.0)),
-            **({} if "Edit" in rows.columns else {"Edit": F.lit("")}),
-            **{c: filled(c) for c in fill_cols if c != "Tag"},
-        }
-    ).drop("_ratio", "_taken")
+        cells = [_spaceless(F.col(at[c])) for c in variable]
+        used = [F.col(at[c]).isNotNull() & (F.length(cell) > 1) for c, cell in zip(variable, cells)]
+        kind = F.concat(*[u.cast("int").cast("string") for u in used])
+        whole = F.concat(*[F.when(u, cell).otherwise("") for u, cell in zip(used, cells)])
+        sure = F.coalesce(F.col("short") > SURE, F.lit(False)) & kind.contains("1")
+        joined = joined.withColumns({"kind": F.when(sure, kind), "token": F.when(sure, whole)})
+        asked = keep(joined.where("kind is not null").select("kind", "token").distinct())
+        kinds = asked.agg(F.collect_set("kind"))  # a matter of the columns, not of the rows
+        flagged = lambda cell, i: F.when(F.substr("kind", i + 1, F.lit(1)) == "1", cell).otherwise("")
+        long_learned = (
+            learned.withColumn("kinds", kinds.scalar())
+            .withColumn("kind", F.explode("kinds"))
+            .withColumn("word", F.array_join(F.transform("cells", flagged), ""))
+        )
+        long = _nearest(asked, long_learned, "long", "long_taken")
+        joined = joined.withColumn("long_key", F.when(F.col("kind").isNotNull(), tx.digest(["kind", "token"])))
+        joined = lookup_join(joined, long, ["long_key"], "left", [at[id_col]])
+        better = F.coalesce(F.col("long") > F.col("short"), F.lit(False))
+        ratio = F.when(better, F.col("long")).otherwise(ratio)
+        taken = F.when(better, F.col("long_taken")).otherwise(taken)
+
+    new = {
+        "Tag": F.coalesce(taken["t_0"], F.lit("")),
+        "Quality": F.coalesce(ratio, F.lit(0.0)),
+        **({} if "Edit" in at else {"Edit": F.lit("")}),
+        **{c: filled(F.col(at[c]), taken[f"t_{i}"]) for i, c in enumerate(take) if c != "Tag"},
+    }
+    return _reopened(joined, rows, new)

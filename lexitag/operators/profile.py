@@ -148,13 +148,19 @@ def fill_columns(
     """Put the fill value of a row's tag into its empty cells; filled cells stay."""
     if not cols:
         return rows
-    wide = fill.groupBy(F.col("Tag").alias(tag)).agg(
-        *[F.max(F.when(F.col("Col") == c, F.col("Val"))).alias(f"_fill_{c}") for c in cols]
-    )
-    joined = lookup_join(rows, wide, [tag], "left", [id_col], measured=fill)
+    at = {c: f"in_{i}" for i, c in enumerate(rows.columns)}
+    inside = tx.enclosed(rows).withColumn("tag", F.col(at[tag]))
+    joined = joined_fill(inside, fill, cols, at[id_col])
+    cells = {c: filled(F.col(at[c]), F.col(f"fill_{i}")) for i, c in enumerate(cols)}
+    return joined.select([cells.get(c, F.col(at[c])).alias(c) for c in rows.columns])
+
+
+def joined_fill(inside: DataFrame, fill: DataFrame, cols: Sequence[str], salt_by: str) -> DataFrame:
+    """Enclosed rows with a column ``tag`` -> the same with fill_0, fill_1 ... of ``cols``."""
+    values = [F.max(F.when(F.col("Col") == c, F.col("Val"))).alias(f"fill_{i}") for i, c in enumerate(cols)]
+    wide = fill.groupBy(F.col("Tag").alias("tag")).agg(*values)
+    return lookup_join(inside, wide, ["tag"], "left", [salt_by], measured=fill)
 
-    def filled(name: str) -> Column:
-        cell = F.col(f"`{name}`")
-        return F.coalesce(F.nullif(cell, F.lit("")), F.col(f"`_fill_{name}`"), cell).alias(name)
 
-    return joined.select([filled(c) if c in cols else F.col(f"`{c}`") for c in rows.columns])
+def filled(cell: Column, value: Column) -> Column:
+    return F.coalesce(F.nullif(cell, F.lit("")), value, cell)

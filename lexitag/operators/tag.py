@@ -155,7 +155,7 @@ def tag_rows(
     rows = tx.enclosed(tx.stringify(new, keep=[id_col]))
     inner = {c: f"in_{i}" for i, c in enumerate(names)}
     columns = [inner[c] for c in names if c != id_col]
-    rows = rows.withColumn("entry", _row_key(inner[id_col], columns))
+    rows = rows.withColumn("entry", tx.digest([inner[id_col], *columns]))
     lookups = {
         "unique": (unique_stage, model.unique),
         "multi": (multi_stage, model.multi),
@@ -188,13 +188,6 @@ def tag_rows(
     )
 
 
-def _row_key(id_col: str, columns: Sequence[str]) -> Column:
-    """A digest of a row's key and its cells, each beside its length."""
-    parts = [F.col(c).cast("string") for c in (id_col, *columns)]
-    whole = F.concat(*(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in parts))
-    return F.unhex(F.md5(whole.cast("binary")))
-
-
 def tag_summary(old: DataFrame, tagged: DataFrame) -> DataFrame:
     """One row of counts: input, known, new, tagged, unclear (quality 1) and untagged rows."""
     known = old.agg(F.count(F.lit(1)).alias("known"))

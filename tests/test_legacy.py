@@ -165,6 +165,65 @@ def test_tag_similar(spark):
     assert got == {r["id"]: plain_similar(r, learn, variable) for r in new}
 
 
+ODD = ["_result", "_conflict", "_hit", "_ratio", "_taken", "key", "said", "clash", "kind", "token", "tag", "in_0", "a`b", "word"]
+
+
+def odd_rows(spark, data):
+    """Rows whose other columns bear names that the stages compute under, or a backtick."""
+    extra = ", ".join("`" + c.replace("`", "``") + "` string" for c in ODD)
+    return spark.createDataFrame([(*r, *(f"v{i}" for i in range(len(ODD)))) for r in data], f"{SCHEMA}, {extra}")
+
+
+def test_any_column_names_null_and_repeated_keys(spark):
+    learn, usable, unclear = vocabularies(spark)
+    texts = ["GYM x", "BLUE BOX", "BLUE RED", "zz", None, "GYM x", "BLUE BOX"]
+    keys = [1, None, 1, None, 7, 1, 1]
+    new = odd_rows(spark, [(k, "", t, "", "own") for k, t in zip(keys, texts)])
+    rated = legacy.tag_relevance(new, usable, "id")
+    assert rated.columns == [*new.columns, "Edit", "Quality"]
+    got = sorted((r["Text"] or "", r["Tag"]) for r in rated.collect())
+    assert got == [("", ""), ("BLUE BOX", ""), ("BLUE BOX", ""), ("BLUE RED", ""), ("GYM x", "y"), ("GYM x", "y"), ("zz", "")]
+    fill = profile.fill_values(learn, "Tag", ["grp", "loc"])
+    named = legacy.tag_by_ngram(new, ngrams.tag_ngrams(learn, unclear), "id", fill, ["grp", "loc"])
+    assert sorted((r["Text"], r["Tag"], r["grp"], r["loc"], r["Edit"]) for r in named.where("Text like 'BLUE%'").collect()) == [
+        ("BLUE BOX", "paper", "g3", "own", ""),
+        ("BLUE BOX", "paper", "g3", "own", ""),
+        ("BLUE RED", "", "", "own", "NEW"),
+    ]
+    tags = spark.createDataFrame([("a`b", f"v{ODD.index('a`b')}", "not_relevant")], "col string, val string, Tag string")
+    assert {r["Tag"] for r in legacy.tag_by_column(new, tags, "id", ["grp", "a`b"]).collect()} == {"y"}
+    alike = legacy.tag_similar(new, odd_rows(spark, LEARN), "id", ["grp"], ["Text", "kind"])
+    got = sorted((r["Text"] or "", r["Tag"], r["grp"]) for r in alike.collect())
+    assert len(got) == 7 and got[4][1:] == got[5][1:] and got[4][0] == "GYM x"
+    assert all(r[f"{c}"] == f"v{i}" for r in alike.collect() for i, c in enumerate(ODD))
+    filled = profile.fill_columns(named, fill, ["grp"], "id")
+    assert filled.columns == named.columns and filled.count() == 7
+
+
+def test_one_join_for_all_kinds(spark):
+    """Rows with other columns filled are of other kinds; all go through two joins, whatever their number."""
+    from lexitag.operators import similar
+
+    learn = rows(spark, [(i, f"t{i}", f"TEXT {i}{i}", f"grp{i}", f"loc{i % 3}") for i in range(9)])
+    data = [(100 + i, "", f"TEXT {i % 9}{i % 9}", f"grp{i}" if i % 2 else "", f"loc{i}" if i % 3 else "x") for i in range(36)]
+    calls, whole = [], similar._best_per_text
+
+    def counted(*given):
+        calls.append(1)
+        return whole(*given)
+
+    similar._best_per_text = counted
+    try:
+        got = legacy.tag_similar(rows(spark, data), learn, "id", [], ["Text", "grp", "loc"])
+        got = {r["id"]: (r["Tag"], r["Quality"]) for r in got.collect()}
+    finally:
+        similar._best_per_text = whole
+    plain = [dict(zip(("id", "Tag", "Text", "grp", "loc"), r)) for r in data]
+    known = [r.asDict() for r in learn.collect()]
+    assert got == {r["id"]: plain_similar(r, known, ["Text", "grp", "loc"]) for r in plain}
+    assert len(calls) == 2
+
+
 def test_profile_names(spark):
     df = rows(spark, [(i, f"t{i % 2}", "x", f"g{i}", "") for i in range(20)])
     assert profile.unique_and_other_columns(df, ["grp", "loc"]) == (["grp"], ["loc"])
