@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -12,17 +13,30 @@ from lexitag.functions.quality import quality_band
 from lexitag.operators.lookup import lookup_join
 
 
+#: What a pattern means beyond its own place in a larger one: a group's number or name, an open quote.
+_NUMBERED = re.compile(r"\\[0-9KQ]|\(\?<[A-Za-z]")
+
+
+def _alternations(patterns: Iterable[str]) -> list[str]:
+    """The patterns as one alternation; those that may not stand beside others follow one by one."""
+    wanted = list(dict.fromkeys(p.upper() for p in patterns if p))
+    alone = [p for p in wanted if _NUMBERED.search(p)]
+    free = [p for p in wanted if not _NUMBERED.search(p)]
+    return (["|".join(f"(?:{p})" for p in free)] if free else []) + alone
+
+
 def exclude_patterns(df: DataFrame, patterns: Mapping[str, Iterable[str]]) -> DataFrame:
     """Drop rows in which a pattern is found in the cell of its column.
 
     Patterns are upper-cased, cells are not. Empty patterns and unknown columns are passed
-    over; a missing cell of a column that has patterns drops the row.
+    over; a missing cell of a column that has patterns drops the row. The plan has one filter
+    per column, however long the list.
     """
     for name, column_patterns in patterns.items():
         if name not in df.columns:
             continue
-        cell = F.col(f"`{name}`").cast("string")
-        for pattern in dict.fromkeys(p.upper() for p in column_patterns if p):
+        cell = tx.column(name).cast("string")
+        for pattern in _alternations(column_patterns):
             df = df.where(~cell.rlike(pattern))
     return df
 

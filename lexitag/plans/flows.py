@@ -25,19 +25,28 @@ def train_from_files(
     excludes: Mapping[str, Sequence[str]] | None = None,
     rebuild: bool = False,
     with_words: bool = False,
+    tokenizer: str = "row",
+    keep_empty: bool = True,
+    multi_line: bool = False,
 ) -> md.TagModel:
-    """Build the tables of a model in ``folder``, each only if missing unless ``rebuild``.
+    """Build the tables of a model in ``folder``, each only where needed unless ``rebuild``.
 
-    Every table is computed from the stored one before it, so a run that was cut off goes on
-    where it stopped. The word table is the largest and no later step needs it: it is stored
-    on request.
+    A table is needed anew if it is missing or half-written, or if the files or the settings that it
+    was made of have changed since. Every table is computed from the stored one before it, so a run
+    that was cut off goes on where it stopped. The word table is the largest and no later step needs
+    it: it is stored on request.
     """
+    files = store.files_mark(spark, paths)
+    listed = {c: list(p) for c, p in (excludes or {}).items()}
+    of_learn = store.fingerprint(files, listed, multi_line)
+    of_words = store.fingerprint(of_learn, list(tag_cols), tokenizer, keep_empty)
 
     def stored(name: str, build) -> DataFrame:
-        return store.saved_or_built(spark, folder, name, build, rebuild)
+        of = of_learn if name == store.LEARN else of_words
+        return store.saved_or_built(spark, folder, name, build, rebuild, of)
 
     def learn_rows() -> DataFrame:
-        rows = tables.read_table(spark, paths, excludes, distinct=True)
+        rows = tables.read_table(spark, paths, listed, distinct=True, multi_line=multi_line)
         return rows.select(F.monotonically_increasing_id().alias("entry"), "*")
 
     learn = stored(store.LEARN, learn_rows)
@@ -46,8 +55,8 @@ def train_from_files(
     if missing:
         raise ValueError(f"tag columns missing from the learn table: {missing}")
     if with_words:
-        stored(store.WORDS, lambda: word_table(learn, "entry", tag_cols))
-    weights = stored(store.WEIGHTS, lambda: md.weights(learn, "entry", tag_cols))
+        stored(store.WORDS, lambda: word_table(learn, "entry", tag_cols, tokenizer))
+    weights = stored(store.WEIGHTS, lambda: md.weights(learn, "entry", tag_cols, tokenizer, keep_empty))
     rated = stored(store.PROBABILITIES, lambda: md.rate_words(weights, tag_cols))
     model = md.TagModel(
         columns=columns,
@@ -81,11 +90,12 @@ def tag_files(
     folder: str,
     excludes: Mapping[str, Sequence[str]] | None = None,
     distinct: bool = False,
+    multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(old, tagged) rows of new files against the model stored in ``folder``."""
     model = load_model(spark, folder)
     learn = store.load_table(spark, folder, store.LEARN)
-    new = tables.read_table(spark, paths, excludes, distinct)
+    new = tables.read_table(spark, paths, excludes, distinct, multi_line)
     old, rest = split_existing(tables.with_entry(new), learn, "entry")
     return old, tag_rows(keep(rest), model, "entry")  # its stages read the new rows several times
 
@@ -94,7 +104,7 @@ def convert_report(
     spark: SparkSession,
     paths: str | Sequence[str],
     target: str | None = None,
-    layout: str = "current",
+    layout: str | Sequence[report.Kind] = "current",
     excludes: DataFrame | None = None,
     learn: DataFrame | None = None,
 ) -> DataFrame:

@@ -190,6 +190,23 @@ def report_lines(spark, sf_dir):
     return report.parse_report(inputs.report_lines(spark, sf_dir))
 
 
+def report_legacy(spark, sf_dir):
+    """Cost, by-number and small-asset lines of the legacy layout."""
+    return report.parse_report(inputs.legacy_report_lines(spark, sf_dir), "legacy")
+
+
+def report_own_kinds(spark, sf_dir):
+    """Asset lines by number and small ones only, by a list of kinds."""
+    own = report.kinds()[2:]
+    return report.parse_report(inputs.legacy_report_lines(spark, sf_dir), own)
+
+
+def exclude_many(spark, sf_dir):
+    """Customers but those whose name ends with one of 5,000 four-digit numbers, the even ones."""
+    customers = inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return clean.exclude_patterns(customers, {"c_name": [f"{i:04d}$" for i in range(0, 10_000, 2)]})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -212,6 +229,9 @@ QUERIES = {
         fill_columns,
         distinct_tags,
         report_lines,
+        report_legacy,
+        report_own_kinds,
+        exclude_many,
     )
 }
 
@@ -330,4 +350,25 @@ ORACLES = {
             CASE WHEN l_returnflag = 'A' THEN lpad(l_orderkey::varchar, 7, '0')
                  ELSE l_orderkey::varchar END AS Referenz
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
+    "report_legacy": """SELECT
+            CASE WHEN l_returnflag IN ('A', 'R') THEN 'Anlagen' ELSE 'Kosten' END AS Art,
+            CASE WHEN l_returnflag = 'A' THEN lpad(l_suppkey::varchar, 7, '0') ELSE l_suppkey::varchar END AS Kostenstelle,
+            '' AS Tag,
+            CASE WHEN l_returnflag IN ('A', 'R') THEN 'PART ' || l_partkey
+                 ELSE 'PART ' || l_partkey || ' ORDER ' || l_orderkey END AS Text,
+            CASE WHEN l_returnflag IN ('A', 'R') THEN '' ELSE l_partkey::varchar END AS Kostenart,
+            CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS Betrag,
+            l_shipdate::date AS Datum, strftime(l_shipdate, '%Y') AS Jahr, 'b' AS Beschaffungsklasse, '' AS CKA,
+            CASE WHEN l_returnflag = 'A' THEN lpad(l_orderkey::varchar, 7, '0')
+                 ELSE l_orderkey::varchar END AS Referenz
+        FROM lineitem""",
+    "report_own_kinds": """SELECT 'Anlagen' AS Art,
+            CASE WHEN l_returnflag = 'A' THEN lpad(l_suppkey::varchar, 7, '0') ELSE l_suppkey::varchar END AS Kostenstelle,
+            'PART ' || l_partkey AS Text, '' AS Kostenart,
+            CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS Betrag,
+            l_shipdate::date AS Datum, strftime(l_shipdate, '%Y') AS Jahr,
+            CASE WHEN l_returnflag = 'A' THEN lpad(l_orderkey::varchar, 7, '0')
+                 ELSE l_orderkey::varchar END AS Referenz
+        FROM lineitem WHERE l_returnflag IN ('A', 'R')""",
+    "exclude_many": "SELECT c_custkey, c_name FROM customer WHERE CAST(right(c_name, 4) AS INT) % 2 = 1",
 }

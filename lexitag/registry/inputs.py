@@ -156,3 +156,41 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n"),
     )
     return items.select(F.when(F.col("l_returnflag") == "A", asset).otherwise(cost).alias("line"))
+
+
+def legacy_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as text of the legacy report: open items as cost lines, shipped-back ones as assets by
+    number, returned ones as small assets."""
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag",
+        F.col("l_suppkey").cast("string").alias("supp"),
+        F.col("l_partkey").cast("string").alias("part"),
+        F.col("l_orderkey").cast("string").alias("order"),
+        F.date_format("l_shipdate", "dd.MM.yyyy").alias("day"),
+        F.date_format("l_shipdate", "yyyy").alias("year"),
+        F.translate(F.format_number("l_extendedprice", 2), ",.", ".,").alias("value"),
+    )
+    number = lambda c: F.lpad(F.col(c), 7, "0")
+
+    def line(*fields) -> Column:
+        return F.concat(*(x for f in fields for x in (F.lit("|"), f if isinstance(f, Column) else F.lit(f))))
+
+    def after(c, end: str) -> Column:
+        return F.concat(F.col(c) if isinstance(c, str) else c, F.lit(end))
+
+    cost = line(
+        after("year", "  "), after("supp", " "), after("part", " "), "Text ", after("day", " "), after("value", " "),
+        F.concat(F.lit("part "), "part", F.lit(" ")), F.concat(F.lit("order "), "order"), "Partner ", " ",
+        after("order", " "), "7 ", "RB 1 \n",
+    )
+    by_number = line(
+        after(number("order"), " "), "0 ", after(number("supp"), " "), "678 ", F.col("day"), F.concat(F.lit("Part "), "part"),
+        F.concat(F.lit(" "), "value", F.lit(" ")), "EUR ", "long ", "900 ", "\n",
+    )
+    small = line(
+        "KST ", after("supp", " "), "Fonds ", "555 ", "V 9 ", F.col("day"), F.concat(F.lit("  "), "value", F.lit("-")),
+        "Kreditor ", F.concat(F.lit("Part "), "part"), "short ", "name ", after("order", " "), " 1", "54 ", "Ist ",
+        "Fipos ", "RW1 \n",
+    )
+    flag = F.col("l_returnflag")
+    return items.select(F.when(flag == "A", by_number).when(flag == "R", small).otherwise(cost).alias("line"))

@@ -6,6 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from lexitag.operators import clean
 from lexitag.operators.lasting import checkpoint_folder
 from lexitag.plans import flows
 from lexitag.registry import inputs
@@ -72,6 +73,35 @@ def decimal_table(spark, sf_dir):
     return tables.read_decimal_table(spark, folder, ["Amount"])
 
 
+def exclude_listed(spark, sf_dir):
+    """Suppliers but those whose names a stored list of patterns holds."""
+    folder = _folder(spark)
+    suppliers = inputs.table(spark, sf_dir, "supplier").select("s_suppkey", F.upper("s_name").alias("s_name"), "s_nationkey")
+    tables.write_table(suppliers.where("s_nationkey = 3").select("s_name"), folder)
+    return clean.exclude_patterns(suppliers, tables.read_excludes(spark, folder))
+
+
+def exclude_listed_values(spark, sf_dir):
+    """Suppliers but those of the nations that a stored list of values holds."""
+    folder = _folder(spark)
+    nations = inputs.table(spark, sf_dir, "nation").where("n_regionkey = 1")
+    values = nations.select(F.col("n_nationkey").alias("s_nationkey"))
+    values.write.csv(folder, sep=tables.VALUE_LIST_SEPARATOR, header=True)
+    suppliers = inputs.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    return clean.exclude_values(suppliers, tables.read_exclude_values(spark, folder), "s_suppkey")
+
+
+def multi_line_model(spark, sf_dir):
+    """Word counts of documents trained from files whose cells hold line breaks, split cell by cell, no empty words."""
+    folder = _folder(spark)
+    rows = inputs.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    tables.write_table(rows.where("text is not null and lang is not null"), f"{folder}/learn")
+    model = flows.train_from_files(
+        spark, f"{folder}/learn", f"{folder}/model", ["lang"], tokenizer="cell", keep_empty=False, multi_line=True
+    )
+    return model.weights.groupBy("tag").agg(F.count("word").alias("words"), F.sum("count").alias("count"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +111,9 @@ QUERIES = {
         stored_model,
         stored_column_names,
         decimal_table,
+        exclude_listed,
+        exclude_listed_values,
+        multi_line_model,
     )
 }
 ORACLES = {
@@ -93,4 +126,7 @@ ORACLES = {
         WHERE (SELECT count(*) FROM part) > 0""",
     "decimal_table": """SELECT '' AS "Tag", o_orderdate::DATE AS "Date", o_orderkey::VARCHAR AS "Text",
         round(o_totalprice, 2)::DOUBLE AS "Amount" FROM orders""",
+    "exclude_listed": "SELECT s_suppkey, upper(s_name) AS s_name, s_nationkey FROM supplier WHERE s_nationkey <> 3",
+    "exclude_listed_values": """SELECT s_suppkey, s_name, s_nationkey FROM supplier
+        WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""",
 }

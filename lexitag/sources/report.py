@@ -106,14 +106,20 @@ def _typed(fields: Column) -> dict[str, Column]:
     }
 
 
-def parse_report(lines: DataFrame, layout: str = "current", keep: Sequence[str] = ()) -> DataFrame:
+Layout = str | Sequence[Kind]
+
+
+def parse_report(lines: DataFrame, layout: Layout = "current", keep: Sequence[str] = ()) -> DataFrame:
     """(line) -> typed rows, with the columns ``keep`` of ``lines`` in front. No shuffle.
 
-    Each pattern runs over a line once; the groups of a match come out of one replacement.
+    ``layout`` is the name of a known layout or the kinds of an own one, whose rows have the columns
+    of the current layout. Each pattern runs over a line once; the groups of a match come out of one replacement.
     """
+    named = isinstance(layout, str)
+    known = kinds(layout) if named else list(layout)
     line = F.col("line")
     matched = lines.where(line.startswith("|")).select(
-        *keep, *[_fields_of(k, line).alias(f"_kind{i}") for i, k in enumerate(kinds(layout))]
+        *keep, *[_fields_of(k, line).alias(f"_kind{i}") for i, k in enumerate(known)]
     )
     found = F.array_compact(F.array(*[c for c in matched.columns if c not in keep]))
     fields = F.col("_fields")
@@ -124,10 +130,10 @@ def parse_report(lines: DataFrame, layout: str = "current", keep: Sequence[str]
     )
     if layout == "legacy":
         rows = rows.withColumns({c: F.lit(v) for c, v in LEGACY_CONSTANTS.items()})
-    return rows.select(*keep, *COLUMNS[layout])
+    return rows.select(*keep, *COLUMNS[layout if named else "current"])
 
 
 def read_report(
-    spark: SparkSession, paths: str | Sequence[str], layout: str = "current"
+    spark: SparkSession, paths: str | Sequence[str], layout: Layout = "current"
 ) -> DataFrame:
     return parse_report(read_lines(spark, paths), layout)

@@ -79,6 +79,43 @@ def test_exclude_patterns(spark):
     assert [r["Num"] for r in kept.collect()] == ["2"]
 
 
+def test_many_patterns_are_one_filter(spark):
+    df = spark.createDataFrame([(f"C{i}", "x") for i in range(6_000)], "a string, `b``c` string")
+    many = [f"^c{i}$" for i in range(5_000)]
+    kept = clean.exclude_patterns(df, {"a": many, "b`c": ["^Y"]})
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2
+    assert sorted(r["a"] for r in kept.collect()) == sorted(f"C{i}" for i in range(5_000, 6_000))
+    # groups by number, quotes and flags keep their meaning beside others
+    df = spark.createDataFrame([("AA",), ("AB",), ("X.Y",), ("XZY",), ("BCBC",), ("q",)], "a string")
+    odd = {"a": ["(z)(z)", r"^(a)\1$", r"\Qx.y", "(BC)+$"]}
+    assert sorted(r["a"] for r in clean.exclude_patterns(df, odd).collect()) == ["AB", "XZY", "q"]
+
+
+def test_own_kinds_of_report_lines(spark):
+    own = report.Kind("Reise", r"\|R(\d+)\|(\d{2}\.\d{2}\.(\d{4}))\|([\d\.]+,\d{2})\|([^\|]+)\|(\w+)", 1, (5,), 4, 2, 3, 6)
+    lines = spark.createDataFrame([("|R77|01.02.2021|1.200,50|Zug Bonn|A9|",), (LINES[1],)], "line string")
+    got = [tuple(r) for r in report.parse_report(lines, [own]).collect()]
+    assert got == [("Reise", "77", "ZUG BONN", "", 1200.5, datetime.date(2021, 2, 1), "2021", "A9")]
+    both = report.parse_report(lines, [own, *report.kinds()])
+    assert sorted(r["Art"] for r in both.collect()) == ["Anlagen", "Reise"]
+
+
+def test_line_breaks_in_cells_through_all_flows(spark, tmp_path):
+    (tmp_path / "learn.csv").write_text('Num;Dext;Cat\n1;"paper\na4";office\n2;laptop;it\n')
+    (tmp_path / "new.csv").write_text('Num;Dext;Cat\n9;"new\nlaptop";\n')
+    folder = str(tmp_path / "model")
+    model = flows.train_from_files(
+        spark, str(tmp_path / "learn.csv"), folder, ["Cat"], multi_line=True, tokenizer="cell", keep_empty=False
+    )
+    assert sorted(r["word"] for r in model.weights.collect()) == ["1", "2", "laptop", "paper\na4"]
+    _, tagged = flows.tag_files(spark, str(tmp_path / "new.csv"), folder, multi_line=True)
+    assert [(r["Num"], r["Dext"]) for r in tagged.collect()] == [("9", "new\nlaptop")]
+    (tmp_path / "dec.csv").write_text('Date;Text;Amount\n31.12.2020;"a\nb";1,5\n')
+    got = tables.read_decimal_table(spark, str(tmp_path / "dec.csv"), ["Amount"], multi_line=True).first()
+    assert (got["Text"], got["Amount"]) == ("a\nb", 1.5)
+
+
 def test_read_table(spark, tmp_path):
     (tmp_path / "a1.csv").write_text("Num;Dext;TB_edit;TB_qual\n007;Royal;y;100\n007;Royal;y;100\n1;;y;3\n")
     (tmp_path / "a2.csv").write_text("Num;Dext;TB_edit;TB_qual\n9;Pay;y;1\n")
@@ -183,12 +220,29 @@ def test_train_and_tag_files(spark, tmp_path):
     bands = {r["Num"]: (r["TB_edit"], r["quality_band"]) for r in spark.read.parquet(str(tmp_path / "results")).collect()}
     assert bands == {"8": ("y", None), "9": ("y", "yellow"), "5": ("y", "red")}
 
-    # stored tables are used again unless a rebuild is asked for
-    (tmp_path / "learn3.csv").write_text("Num;Dext;Cat\n7;chair;office\n")
+    def files(name):
+        return sorted(p.name for p in (tmp_path / "model" / name).glob("part-*"))
+
+    # stored tables are used again while nothing has changed, unless a rebuild is asked for
+    before = {name: files(name) for name in (store.LEARN, store.WEIGHTS, store.UNIQUE)}
     flows.train_from_files(spark, glob, folder, ["Cat"], excludes)
-    assert store.load_table(spark, folder, store.LEARN).count() == 3
+    assert before == {name: files(name) for name in before}
     flows.train_from_files(spark, glob, folder, ["Cat"], excludes, rebuild=True)
+    assert all(before[name] != files(name) for name in before)
+    # a table that was left half-written is not read, the whole ones before it are
+    before = {name: files(name) for name in before}
+    (tmp_path / "model" / "_made" / store.WEIGHTS).unlink()
+    flows.train_from_files(spark, glob, folder, ["Cat"], excludes)
+    assert before[store.LEARN] == files(store.LEARN) and before[store.WEIGHTS] != files(store.WEIGHTS)
+    # other settings and other files make other tables
+    learn = files(store.LEARN)
+    flows.train_from_files(spark, glob, folder, ["Num"], excludes)
+    assert learn == files(store.LEARN)
+    assert store.load_table(spark, folder, store.WEIGHTS).where("tag_col = 'Num'").count() > 0
+    (tmp_path / "learn3.csv").write_text("Num;Dext;Cat\n7;chair;office\n")
+    model = flows.train_from_files(spark, glob, folder, ["Cat"], excludes)
     assert store.load_table(spark, folder, store.LEARN).count() == 4
+    assert model.unique.where("word = 'chair'").count() == 1
     with pytest.raises(ValueError):
         flows.train_from_files(spark, glob, folder, ["Missing"])
 
