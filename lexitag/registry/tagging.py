@@ -227,7 +227,61 @@ def _hits(vocabulary: str) -> str:
              FROM tw JOIN {vocabulary} USING (Ngram) GROUP BY 1)"""
 
 
+def _longest(s: str, t: str) -> str:
+    """l, the length of the longest text of ``s`` that ``t`` holds, and i, its first place in ``s``, negated."""
+    length = f"list_max(list_filter(range(1, length({s}) - i + 2), lambda k: contains({t}, substr({s}, i, k))))"
+    return f"list_max(list_transform(range(1, length({s}) + 1), lambda i: {{'l': coalesce({length}, 0), 'i': -i}}))"
+
+
+def _ratios(words: str, tokens: str) -> str:
+    """CTE ``ratios`` (word, token, similarity): matching blocks left and right of the longest one, and so on."""
+    return f"""
+    pairs AS (SELECT DISTINCT w.word, t.token FROM ({words}) w CROSS JOIN ({tokens}) t),
+    blocks AS (
+        SELECT word, token, word AS s, token AS t, {_longest("word", "token")} AS m FROM pairs
+        UNION ALL
+        SELECT word, token, s, t, {_longest("s", "t")} AS m FROM (
+            SELECT word, token, p.s AS s, p.t AS t FROM (
+                SELECT word, token, unnest([
+                    {{'s': substr(s, 1, -m.i - 1), 't': substr(t, 1, j - 1)}},
+                    {{'s': substr(s, m.l - m.i), 't': substr(t, j + m.l)}}]) AS p
+                FROM (SELECT *, instr(t, substr(s, -m.i, m.l)) AS j FROM blocks WHERE m.l > 0)))
+        WHERE s <> '' AND t <> ''),
+    ratios AS (SELECT word, token, 2.0::double * sum(m.l) / (length(word) + length(token)) AS similarity
+               FROM blocks GROUP BY word, token)"""
+
+
+def _best(condition: str) -> str:
+    return f"""best AS (SELECT token, word, similarity FROM ratios WHERE {condition}
+        QUALIFY row_number() OVER (PARTITION BY token ORDER BY similarity DESC, word DESC) = 1)"""
+
+
+_NAMES = "SELECT s_name AS word FROM supplier"
+_ALIKE = f"""WITH RECURSIVE
+    new AS (SELECT 'c' || c_custkey AS id, c_name AS Text FROM customer
+            UNION ALL SELECT 's' || s_suppkey, upper(s_name) FROM supplier),
+    {_ratios(_NAMES, "SELECT Text AS token FROM new")}, {_best("similarity >= 0.25")},
+    learned AS (SELECT s_name AS word, CASE WHEN s_nationkey = 0 THEN 'y' ELSE s_nationkey::varchar END AS Tag,
+                       'R' || n_regionkey AS region
+                FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
+                QUALIFY row_number() OVER (PARTITION BY s_name ORDER BY s_suppkey) = 1),
+    alike AS (SELECT id, coalesce(Tag, '') AS Tag, Text, coalesce(region, '') AS region, '' AS Edit,
+                     coalesce(round(similarity, 2), 0.0)::double AS Quality
+              FROM new LEFT JOIN best ON token = Text LEFT JOIN learned USING (word))"""
+
+
 ORACLES = {
+    "best_text_match": f"""WITH RECURSIVE {_ratios(_NAMES, "SELECT c_name AS token FROM customer")},
+        {_best("similarity >= 0.25")} SELECT token, word, similarity FROM best""",
+    # no name is so much like a supplier's that the joined texts are compared as well
+    "tag_similar": f"{_ALIKE} SELECT * FROM alike",
+    "cascade_tagged": f"{_ALIKE} SELECT * FROM alike WHERE id LIKE 'c%'",
+    "tag_customers": f"""WITH RECURSIVE
+        {_ratios("SELECT lower(s_name) AS word FROM supplier", "SELECT lower(c_name) AS token FROM customer")},
+        {_best("similarity > 0.3 AND length(word) / length(token) BETWEEN 0.95 AND 1.05")}
+        SELECT c_custkey AS s_suppkey, c_name AS name, nation, coalesce(trunc(similarity * 100), 0)::int AS TB_qual
+        FROM customer LEFT JOIN best ON token = lower(c_name)
+        LEFT JOIN (SELECT lower(s_name) AS word, s_nationkey::varchar AS nation FROM supplier) USING (word)""",
     "tag_unique": f"""WITH {ln.DOCUMENT_W}, {_MODEL}, {_new_words(_TURNS)},
         {_stage_one(ln.DOCUMENT_TAGS)}
         {_result("doc_id", "text", ln.DOCUMENT_TAGS, "SELECT * FROM s1")}""",
