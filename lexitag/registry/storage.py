@@ -10,6 +10,7 @@ from lexitag.operators import clean
 from lexitag.operators.lasting import checkpoint_folder
 from lexitag.plans import flows
 from lexitag.registry import inputs
+from lexitag.registry import learning as ln
 from lexitag.sources import store, tables
 
 
@@ -126,6 +127,8 @@ ORACLES = {
         WHERE (SELECT count(*) FROM part) > 0""",
     "decimal_table": """SELECT '' AS "Tag", o_orderdate::DATE AS "Date", o_orderkey::VARCHAR AS "Text",
         round(o_totalprice, 2)::DOUBLE AS "Amount" FROM orders""",
+    "stored_model": f"""WITH {ln.weights_sql("(SELECT p_partkey || ' ' || p_name AS t, p_type, p_brand FROM part)",
+                                             "p_partkey", "t", ln.PART_TAGS)} SELECT tag, tag_col, word, count FROM w""",
     "exclude_listed": "SELECT s_suppkey, upper(s_name) AS s_name, s_nationkey FROM supplier WHERE s_nationkey <> 3",
     "exclude_listed_values": """SELECT s_suppkey, s_name, s_nationkey FROM supplier
         WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexitag.functions import text as tx
-from lexitag.operators import clean, legacy, ngrams, profile, similar
+from lexitag.operators import clean, edits, legacy, ngrams, profile, similar
 from lexitag.operators import model as md
 from lexitag.operators.lasting import keep
 from lexitag.operators.existing import split_existing
@@ -79,6 +79,13 @@ def similar_words(spark, sf_dir):
     return similar.similar_words(tokens, vocabulary, 2)
 
 
+def similar_words_lev(spark, sf_dir):
+    """Two best part descriptions by edit distance for every one with a typo."""
+    parts = inputs.table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand", "p_size").alias("word"))
+    typo = F.concat(F.substr("word", F.lit(1), F.lit(2)), F.lit("x"), F.substr("word", F.lit(4)))
+    return edits.words_within_edits(parts.select(typo.alias("token")), parts, 2)
+
+
 def _relevance(spark, sf_dir):
     relabelled = clean.relabel_relevance(inputs.legacy_documents(spark, sf_dir), "de")
     return ngrams.relevance_ngrams(relabelled)
@@ -152,6 +159,7 @@ QUERIES = {
         tag_by_column,
         best_text_match,
         tag_similar,
+        similar_words_lev,
         cascade_old,
         cascade_tagged,
     )
@@ -276,6 +284,13 @@ ORACLES = {
     # no name is so much like a supplier's that the joined texts are compared as well
     "tag_similar": f"{_ALIKE} SELECT * FROM alike",
     "cascade_tagged": f"{_ALIKE} SELECT * FROM alike WHERE id LIKE 'c%'",
+    "similar_words_lev": """WITH
+        words AS (SELECT DISTINCT concat_ws(' ', p_name, p_brand, p_size) AS word FROM part),
+        tokens AS (SELECT DISTINCT word[1:2] || 'x' || word[4:] AS token FROM words),
+        rated AS (SELECT token, word, levenshtein(token, word) AS edits, greatest(length(token), length(word)) AS longest
+                  FROM tokens CROSS JOIN words WHERE length(token) >= 5 AND length(word) >= 5)
+        SELECT token, word, 1.0::double - edits / longest AS similarity FROM rated WHERE edits * 100 <= 20 * longest
+        QUALIFY row_number() OVER (PARTITION BY token ORDER BY similarity DESC, word DESC) <= 2""",
     "tag_customers": f"""WITH RECURSIVE
         {_ratios("SELECT lower(s_name) AS word FROM supplier", "SELECT lower(c_name) AS token FROM customer")},
         {_best("similarity > 0.3 AND length(word) / length(token) BETWEEN 0.95 AND 1.05")}
