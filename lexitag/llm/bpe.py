@@ -32,8 +32,10 @@ _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 #: square of a piece's length; longer ones by a heap, with the same result.
 QUERY_BYTES = 200
 #: Pieces gathered before the distinct ones among them are encoded; distinct pieces remembered
-#: per generation of a worker's memory (two are held); rows that decoding holds at once.
-GATHER = 1_500_000
+#: per generation of a worker's memory (two are held); rows that decoding holds at once; pieces that
+#: one run of the recursive query contracts.
+GATHER = 600_000
+CONTRACT = 15_000
 REMEMBER = 300_000
 DECODE_ROWS = 4_000_000
 RUNS_PER_GROUP = 4096
@@ -160,8 +162,8 @@ class _Coder:
                 found[p] = self._contract_long(raw)
             else:
                 todo.append(p), raws.append(raw)
-        for at in range(0, len(todo), 40_000):
-            found.update(zip(todo[at : at + 40_000], self._contract(raws[at : at + 40_000])))
+        for at in range(0, len(todo), CONTRACT):
+            found.update(zip(todo[at : at + CONTRACT], self._contract(raws[at : at + CONTRACT])))
         self.known.update(found)
         return [found[p] for p in pieces]
 
