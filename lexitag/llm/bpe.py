@@ -32,11 +32,11 @@ _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 #: square of a piece's length; longer ones by a heap, with the same result.
 QUERY_BYTES = 200
 #: Pieces gathered before the distinct ones among them are encoded; distinct pieces remembered
-#: per generation of a worker's memory (two are held); rows that decoding holds at once; pieces that
-#: one run of the recursive query contracts.
-GATHER = 600_000
-CONTRACT = 15_000
-REMEMBER = 300_000
+#: per generation of a worker's memory (two are held); rows that decoding holds at once; rows that one
+#: run of the recursive query makes at most, a row per token and step (a longer piece alone).
+GATHER = 400_000
+CONTRACT_ROWS = 600_000
+REMEMBER = 100_000
 DECODE_ROWS = 4_000_000
 RUNS_PER_GROUP = 4096
 
@@ -162,8 +162,12 @@ class _Coder:
                 found[p] = self._contract_long(raw)
             else:
                 todo.append(p), raws.append(raw)
-        for at in range(0, len(todo), CONTRACT):
-            found.update(zip(todo[at : at + CONTRACT], self._contract(raws[at : at + CONTRACT])))
+        made = np.cumsum([0, *(len(r) * (len(r) + 1) // 2 for r in raws)])
+        at = 0
+        while at < len(todo):
+            stop = max(at + 1, int(np.searchsorted(made, made[at] + CONTRACT_ROWS, "right")) - 1)
+            found.update(zip(todo[at:stop], self._contract(raws[at:stop])))
+            at = stop
         self.known.update(found)
         return [found[p] for p in pieces]
 
