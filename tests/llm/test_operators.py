@@ -245,7 +245,41 @@ def test_op6_toxicity(spark):
             scored.append((row["score"], r["toxic"]))
     toxic, clean = ([s for s, t in scored if t == v] for v in (1, 0))
     order = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
-    assert order > 0.8  # 0.87 measured: this table has some 360 toxic texts to learn from (see README)
+    assert order > 0.9  # the table has some 350 toxic texts to learn from, in four languages
+    assert sum(s >= 0.5 for s in toxic) > 0.8 * len(toxic)
+    assert sum(s >= 0.5 for s in clean) < 0.15 * len(clean)  # 0.05 is still to be reached here (see README)
+
+
+def _plain_windows(text):
+    marks = "".join(map(chr, range(33, 48))) + ":;?@[]_{}|~"
+    words = [w for w in (x.strip(marks) for x in (text or "").lower().split()) if w]
+    return [words[i : i + 3] for i in range(0, len(words), 3)] or [[]]
+
+
+def test_toxicity_scores_in_plain_python(rows):
+    """Every score follows from the stored weights by plain averages, maximum and logistic function."""
+    texts = [t for _, t in rows(SMALL, "documents", "doc_id", "text")][:60] + ["", None, "one", "two words", "a b c d"]
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.4)
+
+    def word(w):
+        buckets, _ = subwords.grams([w], toxicity.SIZES, toxicity.BUCKETS)
+        return sum(float(model.weights[b]) for b in buckets) / len(buckets)
+
+    for text, got in zip(texts, model.score(texts)):
+        best = max(sum(map(word, ws)) / max(1, len(ws)) for ws in _plain_windows(text))
+        assert got == pytest.approx(1 / (1 + np.exp(-(best + model.bias))), abs=1e-6)
+
+
+def test_ngrams_are_counted_by_text():
+    words, texts = ["ab", "abc", "xy"], [["ab", "ab", "xy"], [], ["abc"], ["ab", "abc"]] * 70
+    bucket, ends = subwords.grams(words, toxicity.SIZES, toxicity.BUCKETS)
+    _, slot = np.unique(bucket, return_inverse=True)
+    which = np.array([words.index(w) for t in texts for w in t])
+    doc = np.array([i for i, t in enumerate(texts) for _ in t])
+    of = [set(slot[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+    wanted = [sum(any(s in of[words.index(w)] for w in t) for t in texts) for s in range(slot.max() + 1)]
+    assert toxicity._texts_with(slot, ends, which, doc).tolist() == wanted
 
 
 def test_unseen_misspellings_share_vectors():
