@@ -1,49 +1,20 @@
-"""Similarity join by edit distance, in built-in functions only.
+"""Similarity join by edit distance.
 
-The similarity of two texts is 1 - edits / length of the longer one. An edit changes at most two of a
-text's character pairs, so texts within the allowed edits share some of their rarest pairs. Pairs are
-numbered by occurrence and ordered by rising frequency over all texts; a text is looked up by so many
-of its rarest pairs as the edits may change, and one more. Frequent pairs thereby hardly bring texts
-together. The distance itself is worked out for candidates only, and no further than the allowed edits.
+The similarity of two texts is 1 - edits / length of the longer one. The join is that of
+``operators.similar``, with this measure in place of the sequence ratio: an edit leaves at most one common
+character less, so pieces are passed over by the characters they hold, and the distance to a prefix that
+many words share is worked out once for all of them. Only the best words of a text come back, no candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitag.operators.lasting import keep
-from lexitag.operators.lookup import lookup_join
+from lexitag.operators.similar import by_edits
 
-SHORTEST = 5  # texts of fewer characters need not share a pair
-LEAST = 80  # percent of similarity; at least 75, below which shared pairs are not certain
-
-
-def _edits(length: Column, least: int) -> Column:
-    """The most edits between a text of this length and a similar one of any length."""
-    return F.floor((100 - least) * length / least).cast("int")
-
-
-def _pairs(texts: DataFrame, name: str) -> DataFrame:
-    """(text, gram, nth, pos): the character pairs of distinct texts, numbered where they come again."""
-    rows = texts.select(F.col(name).alias("text")).where(F.length("text") >= SHORTEST).distinct()
-    at = F.sequence(F.lit(1), F.length("text") - 1)
-    cut = F.transform(at, lambda i: F.struct(F.substr("text", i, F.lit(2)).alias("gram"), i.alias("pos")))
-    places = (
-        rows.select("text", F.explode(cut).alias("x"))
-        .groupBy("text", "x.gram")
-        .agg(F.sort_array(F.collect_list("x.pos")).alias("at"))
-    )
-    return keep(places.select("text", "gram", F.posexplode("at").alias("nth", "pos")))
-
-
-def _rarest(pairs: DataFrame, counts: DataFrame, least: int) -> DataFrame:
-    """(text, gram, nth, pos) of the rarest pairs of every text, as many as must hold a shared one."""
-    rated = lookup_join(pairs, counts, ["gram", "nth"], "inner", ["text"])
-    rank = F.struct("n", "gram", "nth", "pos")
-    sorted_pairs = rated.groupBy("text").agg(F.sort_array(F.collect_list(rank)).alias("all"))
-    first = F.slice("all", F.lit(1), 2 * _edits(F.length("text"), least) + 1)
-    return sorted_pairs.select("text", F.explode(first).alias("x")).select("text", "x.gram", "x.nth", "x.pos")
+SHORTEST = 5  # shorter texts have no match
+LEAST = 80  # percent of similarity; 75 at least
 
 
 def words_within_edits(tokens: DataFrame, words: DataFrame, count: int, least: int = LEAST) -> DataFrame:
@@ -54,16 +25,5 @@ def words_within_edits(tokens: DataFrame, words: DataFrame, count: int, least: i
     """
     if not 75 <= least <= 100:
         raise ValueError("least is a percentage from 75 to 100")
-    asked, offered = _pairs(tokens, "token"), _pairs(words, "word")
-    counts = keep(asked.unionByName(offered).groupBy("gram", "nth").agg(F.count(F.lit(1)).alias("n")))
-    left = _rarest(asked, counts, least).withColumnsRenamed({"text": "token", "pos": "token_pos"})
-    right = keep(_rarest(offered, counts, least).withColumnsRenamed({"text": "word", "pos": "word_pos"}))
-    met = lookup_join(left, right, ["gram", "nth"], "inner", ["token"])
-    longest = F.greatest(F.length("token"), F.length("word"))
-    edits = F.floor((100 - least) * longest / 100).cast("int")
-    apart = F.abs(F.length("token") - F.length("word"))
-    candidates = met.where(apart <= edits).select("token", "word").distinct()
-    found = candidates.withColumn("edits", F.call_function("levenshtein", F.col("token"), F.col("word"), edits))
-    rated = found.where("edits >= 0").select("token", "word", (1.0 - F.col("edits") / longest).alias("similarity"))
-    order = Window.partitionBy("token").orderBy(F.desc("similarity"), F.desc("word"))
-    return rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).drop("place")
+    asked, offered = (df.where(F.length(c) >= SHORTEST) for df, c in ((tokens, "token"), (words, "word")))
+    return by_edits(asked, offered, count, least)
