@@ -17,12 +17,36 @@ from lexitag.operators.lookup import lookup_join
 _NUMBERED = re.compile(r"\\[0-9KQ]|\(\?<[A-Za-z]")
 
 
+#: Patterns of plain characters, perhaps at the end of the cell only, which may share their starts.
+_PLAIN = re.compile(r"[A-Z0-9 _]+\$?")
+_NESTED = 16  # levels of groups at most
+
+
+def _shared(tails: list[str], levels: int = _NESTED) -> str:
+    """An expression found where one of the plain ``tails`` is; starts they share are written once.
+
+    So a place in a cell is compared with a few characters a level, however many tails there are.
+    """
+    if "" in tails:  # found here, whatever follows
+        return ""
+    by_first: dict[str, list[str]] = {}
+    for tail in tails:
+        by_first.setdefault(tail[0], []).append(tail[1:])
+    parts = []
+    for char, rest in by_first.items():
+        one = len(rest) == 1
+        parts.append(char + (rest[0] if one else _shared(rest, levels - 1) if levels else f"(?:{'|'.join(rest)})"))
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def _alternations(patterns: Iterable[str]) -> list[str]:
     """The patterns as one alternation; those that may not stand beside others follow one by one."""
     wanted = list(dict.fromkeys(p.upper() for p in patterns if p))
     alone = [p for p in wanted if _NUMBERED.search(p)]
     free = [p for p in wanted if not _NUMBERED.search(p)]
-    return (["|".join(f"(?:{p})" for p in free)] if free else []) + alone
+    plain = [p for p in free if _PLAIN.fullmatch(p)]
+    others = [f"(?:{p})" for p in free if not _PLAIN.fullmatch(p)]
+    return (["|".join(([_shared(plain)] if plain else []) + others)] if free else []) + alone
 
 
 def exclude_patterns(df: DataFrame, patterns: Mapping[str, Iterable[str]]) -> DataFrame:
