@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexitag.functions import text as tx
 from lexitag.operators.lasting import keep
-from lexitag.operators.lookup import lookup_join, salted_join
+from lexitag.operators.lookup import fits_broadcast, lookup_join, salted_join
 from lexitag.operators.words import tagged_words
 
 SEED = 16  # characters of a word that bring it to a token at most
@@ -56,21 +56,18 @@ def clean_ngrams(counted: DataFrame) -> DataFrame:
 
 
 def _seed_size(size: Column) -> Column:
-    """The largest power of two up to ``size`` and SEED."""
-    found = F.lit(1)
-    for power in range(1, SEED.bit_length()):
-        found = F.when(size >= 1 << power, 1 << power).otherwise(found)
-    return found
+    """Whole words up to SEED characters are their own seeds, longer ones have SEED."""
+    return F.least(size, F.lit(SEED))
 
 
 def _containing(tokens: DataFrame, ngrams: DataFrame) -> DataFrame:
     """``tokens`` (token, ...) x ``ngrams`` where the token contains the word: seed and verify.
 
     A word has no white space, so a text contains it where one of its tokens does. The word's first
-    1, 2, 4 ... or SEED characters, as many as it has, are its seed. Tokens give seeds of the sizes
-    that occur at every place, and where a seed meets that of a word, the word is compared with the
-    token there. Long tokens are cut into overlapping chunks first, so no row holds more than a
-    chunk's seeds.
+    SEED characters, or all it has, are its seed. Tokens give seeds of the sizes that occur at every
+    place. A shorter word is found where its seed is; only longer ones are compared with the token
+    there, so words that merely begin alike never meet it. Long tokens are cut into overlapping
+    chunks first, so no row holds more than a chunk's seeds.
     """
     numbered = keep(tokens.withColumn("tid", F.monotonically_increasing_id()))
     words = ngrams.where(F.length("Ngram") > 0).withColumn("seed_size", _seed_size(F.length("Ngram")))
@@ -93,6 +90,11 @@ def _containing(tokens: DataFrame, ngrams: DataFrame) -> DataFrame:
         "tid", F.explode(F.flatten(F.transform("sizes", seeds))).alias("s")
     )
     seeded = words.withColumn("seed", F.substring("Ngram", F.lit(1), F.col("seed_size"))).drop("seed_size")
+    seeded = keep(seeded)
+    # Few seeds are those of words; the hashes of these are small enough to be looked up before any shuffle.
+    known = seeded.select(F.xxhash64("seed").alias("hash")).distinct()
+    if fits_broadcast(known):
+        placed = placed.withColumn("hash", F.xxhash64("s.seed")).join(F.broadcast(known), "hash", "left_semi").drop("hash")
     met = lookup_join(placed.select("tid", "s.pos", "s.seed"), seeded, ["seed"], "inner", ["tid", "pos"])
     # Words as long as their seed are verified; the others are compared where they would lie.
     whole = F.length("Ngram") == F.length("seed")
