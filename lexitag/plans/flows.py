@@ -136,11 +136,9 @@ def learn_cascade(
 ) -> Cascade:
     """Learn from a table with Tag and Text: relevance words, tag words, column values, and
     fill values for the low-variety columns that are empty in the input."""
-    others = [c for c in learn.columns if c not in ("Tag", "Text", id_col)]
     relabelled = clean.relabel_relevance(learn, irrelevant)
     usable, unclear = ngrams.relevance_ngrams(relabelled)
-    unique_cols, other_cols = profile.unique_and_other_columns(relabelled, others)
-    fill_cols = profile.empty_columns(new, [c for c in other_cols if c in new.columns])
+    unique_cols, fill_cols = _unique_and_fill_columns(relabelled, new, id_col)
     fill = keep(profile.fill_values(learn, "Tag", fill_cols)) if fill_cols else None
     columns = profile.column_tags(relabelled, "Tag", unique_cols) if unique_cols else None
     return Cascade(
@@ -152,6 +150,12 @@ def learn_cascade(
     )
 
 
+def _unique_and_fill_columns(relabelled: DataFrame, new: DataFrame, id_col: str) -> tuple[list[str], list[str]]:
+    others = [c for c in relabelled.columns if c not in ("Tag", "Text", id_col)]
+    unique_cols, other_cols = profile.unique_and_other_columns(relabelled, others)
+    return unique_cols, profile.empty_columns(new, [c for c in other_cols if c in new.columns])
+
+
 def save_cascade(vocabularies: Cascade, folder: str) -> None:
     names = store.LEGACY
     store.save_table(vocabularies.relevance, folder, names["relevance"])
@@ -183,9 +187,7 @@ def run_cascade(
     """(old, tagged, conflicts): known rows, then not relevant rows, then rows with tag words,
     then rows with the most similar text. Each stage gets only what the one before left open."""
     columns = [c for c in learn.columns if c != id_col]
-    compare, fill = profile.compare_columns(new, learn, columns)
-    compare = [c for c in compare if c not in vocabularies.fill_cols]
-    old, rest, conflicts = split_existing_normalised(new, learn, id_col, compare, fill)
+    old, rest, conflicts = _split_cascade(learn, new, vocabularies.fill_cols, id_col)
 
     rated = keep(legacy.tag_relevance(rest, vocabularies.relevance, id_col))
     tagged, left = legacy.split_tagged(rated)
@@ -208,3 +210,17 @@ def run_cascade(
     for part in parts[1:]:
         result = result.unionByName(part)
     return old, result, conflicts
+
+
+def old_of_cascade(learn: DataFrame, new: DataFrame, id_col: str, irrelevant: str = legacy.IRRELEVANT) -> DataFrame:
+    """The known rows of ``run_cascade`` alone: no vocabulary is learned and no stage is run for them."""
+    _, fill_cols = _unique_and_fill_columns(clean.relabel_relevance(learn, irrelevant), new, id_col)
+    return _split_cascade(learn, new, fill_cols, id_col)[0]
+
+
+def _split_cascade(
+    learn: DataFrame, new: DataFrame, fill_cols: Sequence[str], id_col: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    compare, fill = profile.compare_columns(new, learn, [c for c in learn.columns if c != id_col])
+    compare = [c for c in compare if c not in fill_cols]
+    return split_existing_normalised(new, learn, id_col, compare, fill)

@@ -4,6 +4,7 @@ from difflib import SequenceMatcher, get_close_matches
 from lexitag.operators import legacy, ngrams, profile
 from lexitag.operators.existing import split_existing_normalised
 from lexitag.plans import flows
+from lexitag.registry import inputs, tagging
 
 LEARN = [
     (1, "y", "GYM FEE", "g1", "A"),
@@ -260,3 +261,14 @@ def test_null_tag_is_no_tag(spark):
     tagged, left = legacy.split_tagged(rows)
     assert [r["id"] for r in tagged.collect()] == [1]
     assert sorted(r["id"] for r in left.collect()) == [2, 3]
+
+
+def test_known_rows_need_no_stage(spark, sf, monkeypatch):
+    learn, new = inputs.legacy_suppliers(spark, sf), inputs.legacy_customers(spark, sf)
+    wanted = flows.run_cascade(learn, new, flows.learn_cascade(learn, new, "id"), "id")[0]
+    for name in ("tag_relevance", "tag_by_ngram", "tag_similar"):
+        monkeypatch.setattr(legacy, name, None)
+    monkeypatch.setattr(ngrams, "tag_ngrams", None)
+    got = tagging.cascade_old(spark, sf)
+    assert got.columns == wanted.columns and got.count() > 0
+    assert sorted(got.collect()) == sorted(wanted.collect())
