@@ -34,10 +34,10 @@ QUERY_BYTES = 200
 #: Pieces gathered before the distinct ones among them are encoded; distinct pieces remembered
 #: per generation of a worker's memory (two are held); rows that decoding holds at once; rows that one
 #: run of the recursive query makes at most, a row per token and step (a longer piece alone).
-GATHER = 200_000
+GATHER = 400_000
 CONTRACT_ROWS = 300_000
-REMEMBER = 100_000
-DECODE_ROWS = 200_000
+REMEMBER = 250_000
+DECODE_ROWS = 400_000
 RUNS_PER_GROUP = 4096
 
 #: The state is one row per token, keyed by piece and position in it (k = piece * 256 + position).
