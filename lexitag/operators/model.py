@@ -2,8 +2,8 @@
 
 Counts are aggregated before they are unpivoted, so the shuffle carries one row per
 (word, tag combination) and task whatever the number of tag columns. The statistics of a word
-are aggregates with map-side combine joined back, not windows over the word's rows: a word that
-occurs with nearly all tags does not end up in one task.
+are windows over its rows only while tags are too few to make a word hot; else aggregates with
+map-side combine joined back: a word that occurs with nearly all tags does not end up in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexitag.functions import text as tx
 from lexitag.operators.lasting import keep
-from lexitag.operators.lookup import salted_join
+from lexitag.operators import lookup
 from lexitag.operators.words import learn_words, unpivot_tags
 
 
@@ -59,41 +59,51 @@ def rate_words(weights: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
     several tag columns among them is rated in the first of these columns only, the rest stay
     100.
 
-    One aggregate per word and one join back serve all of it. Words with at most one tag per
-    tag column and fewer than three rows, the great majority, stay out of the joined side.
+    Words have a row per tag at most. Where there are fewer tags than make a hot key, all of it is
+    windows over the rows of a word, in one shuffle and sort; else one aggregate per word and one
+    join back, from which words with at most one tag per tag column and fewer than three rows, the
+    great majority, stay out.
     """
+    shared, tags = _tags_told(weights)
     in_col = {c: F.col("tag_col") == c for c in tag_cols}
-    counts = {c: F.count(F.when(here, 1)) for c, here in in_col.items()}
-    lows = {c: F.min(F.when(here, F.col("tag"))) for c, here in in_col.items()}
-    of_word = (
-        weights.groupBy("word")
-        .agg(
-            F.min(F.struct("tag", "tag_col", "count")).alias("first"),
-            F.sum("count").alias("total"),
-            F.count(F.lit(1)).alias("rows"),
-            F.array(*counts.values()).alias("col_rows"),
-            F.array(*lows.values()).alias("col_lows"),
-        )
-        .where((F.col("rows") >= 3) | F.exists("col_rows", lambda n: n > 1))
-    )
-    place_of_col = F.array_position(F.lit(list(tag_cols)), F.col("tag_col")).cast("int")
+    of_word = {
+        "first": F.min(F.struct("tag", "tag_col", "count")),
+        "total": F.sum("count"),
+        "rows": F.count(F.lit(1)),
+    }
+    counts = {f"rows_{i}": F.count(F.when(here, 1)) for i, here in enumerate(in_col.values())}
+    lows = {f"low_{i}": F.min(F.when(here, F.col("tag"))) for i, here in enumerate(in_col.values())}
+    of_word |= counts | lows
+    in_tag = Window.partitionBy("word", "tag").orderBy("tag_col")
     same_tag = F.col("tag") == F.col("first.tag")
     is_first = same_tag & (F.col("tag_col") == F.col("first.tag_col"))
-    share = F.col("count").cast("double") / (F.col("total") - F.col("first.count")) * 100
+    # the place of a row among the rows of its word and tag: at most one per tag column
+    first_place = F.col("place") - same_tag.cast("int") == 1
     rated = (F.col("rows") >= 3) & ~is_first
-    if len(tag_cols) > 1 and _tags_shared(weights):
-        # the place of a row among the rows of its word and tag: at most one per tag column
-        in_tag = Window.partitionBy("word", "tag").orderBy("tag_col")
-        weights = weights.withColumn("place", F.row_number().over(in_tag))
-        rated = rated & (F.col("place") - same_tag.cast("int") == 1)
-    return salted_join(weights, of_word, ["word"], "left", ["tag", "tag_col"]).select(
+    if tags < lookup.HOT_ROWS:
+        in_word = Window.partitionBy("word")
+        placed = weights.repartition("word").withColumn("place", F.row_number().over(in_tag))
+        told = placed.withColumns({name: value.over(in_word) for name, value in of_word.items()})
+        rated = rated & first_place
+    else:
+        if shared:
+            weights = weights.withColumn("place", F.row_number().over(in_tag))
+            rated = rated & first_place
+        many = F.col("rows") >= 3
+        for name in counts:
+            many = many | (F.col(name) > 1)
+        words = weights.groupBy("word").agg(*[value.alias(name) for name, value in of_word.items()])
+        told = lookup.salted_join(weights, words.where(many), ["word"], "left", ["tag", "tag_col"])
+    share = F.col("count").cast("double") / (F.col("total") - F.col("first.count")) * 100
+    place_of_col = F.array_position(F.lit(list(tag_cols)), F.col("tag_col")).cast("int")
+    return told.select(
         "tag",
         "tag_col",
         "word",
         "count",
         F.when(rated, F.rint(share).cast("int")).otherwise(100).alias("probability"),
-        F.coalesce(F.get("col_rows", place_of_col - 1), F.lit(1)).alias("tags"),
-        F.coalesce(F.get("col_lows", place_of_col - 1), "tag").alias("lowest"),
+        F.coalesce(F.get(F.array(*counts), place_of_col - 1), F.lit(1)).alias("tags"),
+        F.coalesce(F.get(F.array(*lows), place_of_col - 1), "tag").alias("lowest"),
     )
 
 
@@ -104,10 +114,11 @@ def probabilities(weights: DataFrame, tag_cols: Sequence[str]) -> DataFrame:
     return rate_words(weights, tag_cols).select(VOCABULARY)
 
 
-def _tags_shared(weights: DataFrame) -> bool:
-    """Does some tag name occur in more than one tag column? (one boolean comes back)"""
-    columns = weights.groupBy("tag").agg((F.min("tag_col") < F.max("tag_col")).alias("shared"))
-    return bool(columns.agg(F.bool_or("shared").alias("any")).first()["any"])
+def _tags_told(weights: DataFrame) -> tuple[bool, int]:
+    """Does some tag name occur in more than one tag column? How many tags are there? (one row comes back)"""
+    columns = weights.select("tag", "tag_col").distinct().groupBy("tag").agg(F.count(F.lit(1)).alias("columns"))
+    told = columns.agg(F.max("columns").alias("most"), F.sum("columns").alias("tags")).first()
+    return (told["most"] or 0) > 1, told["tags"] or 0
 
 
 def ambiguous_words(probabilities: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def unique_stage(words: DataFrame, unique: DataFrame, tag_cols: Sequence[str]) -
         _per_tag_col(tag_cols, lambda here: F.max(F.when(here, F.col("tag")))),
     )
     hits = (
-        lookup_join(words, wide, ["word"], "inner", ["entry"], measured=unique)
+        lookup_join(words, wide, ["word"], "inner", ["entry"], measured=unique, sift=True)
         .groupBy("entry")
         .agg(
             F.sum("hits").alias("hits"),
@@ -58,7 +58,7 @@ def multi_stage(words: DataFrame, multi: DataFrame, tag_cols: Sequence[str]) ->
     digest, and its hits by the smallest row key that has it, so no hit carries the words.
     """
     ambiguous = multi.select("word").distinct()
-    known = lookup_join(words, ambiguous, ["word"], "left_semi", ["entry"], measured=multi)
+    known = lookup_join(words, ambiguous, ["word"], "left_semi", ["entry"], measured=multi, sift=True)
     sets = keep(
         known.groupBy("entry")
         .agg(F.array_sort(F.collect_list("word")).alias("words"))
@@ -150,6 +150,8 @@ def tag_rows(
     null tags and TB_qual 0. Stages see distinct rows as a key and their words; the cells are
     joined to what was decided once, at the end. The key is a digest of row key and cells, so null
     and repeated row keys are served like others, and rows alike in all of them get the same tags.
+    The words of all rows are neither written nor shuffled, unless rows repeat: the first stage
+    takes them as they are read, and later ones get those of the rows still open.
     """
     names = list(new.columns)
     rows = tx.enclosed(tx.stringify(new, keep=[id_col]))
@@ -161,8 +163,11 @@ def tag_rows(
         "multi": (multi_stage, model.multi),
         "similar": (similar_stage, model.unique),
     }
-    words = tx.row_words(tx.full_row_text(columns)).alias("words")
-    open_rows, parts = keep(rows.select("entry", words).dropDuplicates(["entry"])), []
+    open_rows, parts = rows.select("entry", tx.row_words(tx.full_row_text(columns)).alias("words")), []
+    entries = keep(rows.groupBy("entry").agg(F.count(F.lit(1)).alias("copies")))
+    if not entries.where("copies > 1").isEmpty():
+        open_rows = keep(open_rows.dropDuplicates(["entry"]))
+    entries = entries.select("entry")
     for name in stages:
         asked = open_rows
         if name != "similar":
@@ -171,13 +176,14 @@ def tag_rows(
         part = stage(asked, vocabulary, model.tag_cols)
         if name != stages[-1]:
             part = keep(part)
-            # the rows still open are few: later stages must not shuffle all rows again
-            open_rows = keep(open_rows.join(part.select("entry"), "entry", "left_anti"))
+            entries = keep(entries.join(part.select("entry"), "entry", "left_anti"))
+            open_rows = keep(lookup_join(open_rows, entries, ["entry"], "left_semi", hot=[]))
         parts.append(part)
     decided = parts[0]
     for part in parts[1:]:
         decided = decided.unionByName(part)
-    found = lookup_join(rows, keep(decided), ["entry"], "left", [inner[id_col]])
+    # rows of one entry are alike, so nothing could split them: no hot keys are looked for
+    found = lookup_join(rows, keep(decided), ["entry"], "left", hot=[])
     return found.select(
         F.col(inner[id_col]).alias(id_col),
         *[

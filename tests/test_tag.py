@@ -344,3 +344,45 @@ def test_checkpoint_folder_must_be_shared():
     assert checkpoint_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
     folders.clear()
     assert "lexitag-" in checkpoint_folder(session("local[2]", None))
+
+
+def _kept(monkeypatch, *modules):
+    """What the modules keep from here on: (columns, rows)."""
+    kept = []
+
+    def noted(df):
+        kept.append((df.columns, (table := keep(df)).collect()))
+        return table
+
+    for module in modules:
+        monkeypatch.setattr(module, "keep", noted)
+    return kept
+
+
+def test_words_are_sifted_before_they_are_shuffled(spark, monkeypatch):
+    """Words no vocabulary holds, and the words of decided rows, are neither written nor shuffled."""
+    from lexitag.operators import tag as module
+
+    new = spark.createDataFrame(
+        [(i, f"other{i} words{i}, none{i}" + ("; Y" if i % 10 else "; w"), "") for i in range(200)],
+        "id long, text string, t string",
+    )
+    wanted = sorted(map(str, tag_rows(new, golden_model(spark), "id").collect()))
+    monkeypatch.setattr(lookup, "fits_broadcast", lambda df: False)
+    kept = _kept(monkeypatch, module, lookup)
+    got = tag_rows(new, golden_model(spark), "id", ("unique", "multi", "similar"))
+    assert sorted(map(str, got.collect())) == wanted
+    occurrences = [rows for columns, rows in kept if columns == ["entry", "word"]]
+    assert occurrences and all(len(rows) <= 200 + 5 for rows in occurrences)
+    assert all(len(rows) <= 20 for columns, rows in kept if "words" in columns)
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_sift_loses_no_partner(spark, how):
+    left = spark.range(20000).selectExpr("id", "if(id % 100 = 0, null, concat('w', id)) as k", "id % 7 as `a b`")
+    right = spark.range(0, 20000, 9).selectExpr("concat('w', id) as k", "id as v")
+    some = lookup.sifted(left, right, ["k"])
+    assert some.columns == left.columns and some.count() < 2400
+    rows = lambda df: sorted(map(str, df.join(right, "k", how).collect()))
+    assert rows(some) == rows(left)
+    assert lookup.sifted(left, right.where("v < 0"), ["k"]).count() == 0

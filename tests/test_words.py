@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from lexitag.functions import text as tx
 from lexitag.functions.quality import quality_band
-from lexitag.operators import clean, words
+from lexitag.operators import clean, lookup, words
 from lexitag.operators import model as md
+from lexitag.operators.lasting import keep
 
 
 def one(spark, value, column):
@@ -165,3 +166,20 @@ def test_missing_tag_column(spark):
 def test_distinct_rows_keep_smallest_key(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b")], "id long, a string")
     assert sorted(clean.distinct_rows(df, "id").collect()) == [(1, "a"), (2, "b")]
+
+
+def test_words_are_rated_in_one_shuffle(spark, sf, monkeypatch):
+    """Few tags: windows over the rows of a word. As many as make a hot key: the same by aggregates."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    shared = documents.selectExpr("doc_id", "text", "lang", "if(doc_id % 2 = 0, lang, source) as source")
+    for learn in (documents, shared):
+        weights = keep(md.weights(learn, "doc_id", ["lang", "source"]))
+        rated = md.rate_words(weights, ["lang", "source"])
+        plan = rated._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+        found = sorted(map(str, rated.collect()))
+        with monkeypatch.context() as patch:
+            patch.setattr(lookup, "HOT_ROWS", 0)
+            many = md.rate_words(weights, ["lang", "source"])
+            assert "Join" in many._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, many.collect())) == found
