@@ -386,3 +386,15 @@ def test_sift_loses_no_partner(spark, how):
     rows = lambda df: sorted(map(str, df.join(right, "k", how).collect()))
     assert rows(some) == rows(left)
     assert lookup.sifted(left, right.where("v < 0"), ["k"]).count() == 0
+
+
+def test_only_words_within_reach_get_bit_sets(spark, monkeypatch):
+    words = spark.createDataFrame([("x" * n + chr(97 + i),) for n in range(4, 40) for i in range(20)], ["word"])
+    tokens = spark.createDataFrame([("xxxxxxxz",)], ["token"])
+    kept = _kept(monkeypatch, similar)
+    got = [tuple(r) for r in similar.similar_words(tokens, words, 2).collect()]
+    assert got == [("xxxxxxxz", "xxxxxxxt", 0.875), ("xxxxxxxz", "xxxxxxxs", 0.875)]
+    signed = [rows for columns, rows in kept if "word" in columns and "b0" in columns]
+    assert len(signed) == 1 and len(signed[0]) == 20
+    similar.similar_words(tokens.where("false"), words, 2).collect()
+    assert [len(rows) for columns, rows in kept if "word" in columns and "b0" in columns] == [20, 0]
