@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexitag.llm.common import quoted, text_batches
+from lexitag.llm.common import quoted
 from lexitag.llm.merkle import numbered
 from lexitag.llm.quotient import Filter, permuted, restored, top
 from lexitag.operators.lasting import keep
@@ -46,7 +46,9 @@ FIRST = 2000
 COVERED_PERCENT = 100
 ENDS = ".,;:!?\n\x0b\x0c\r"
 RUN_ROW = 16_384  # numbers in a row of runs
-GRAMS = 1 << 21  # n-grams sorted at a time, and entries that a task holds before it hands them on
+BATCH_ROWS = 16  # such rows, or filters, that travel at once
+GRAMS = 1 << 19  # n-grams sorted at a time, and entries that a task holds before it hands them on
+KEYS = 1 << 18  # n-grams whose keys are made at a time
 SLOT_BITS = 27
 BLOCK_BITS = 6, 16  # least and most; between them a slice for every million words
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -154,7 +156,7 @@ def _alive(runs: np.ndarray, n: int, bits: int, bitmap: np.ndarray, slot_bits: i
 def _counted(runs: DataFrame, n: int, bits: int, block_bits: int, bitmap: Broadcast | None) -> DataFrame:
     """Kept rows of two kinds: (block, filter) of n-grams, and (runs) that longer ones may lie in."""
 
-    size, grams, slot_bits = RUN_ROW, GRAMS, min(SLOT_BITS, (n - 1) * bits)
+    size, grams, slot_bits, step = RUN_ROW, GRAMS, min(SLOT_BITS, (n - 1) * bits), min(KEYS, GRAMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, filters = [], []
@@ -176,13 +178,13 @@ def _counted(runs: DataFrame, n: int, bits: int, block_bits: int, bitmap: Broadc
             if bitmap is not None:
                 found = _alive(found, n - 1, bits, bitmap.value, slot_bits)
                 rows = list(_rows_of(found, n + 1, size))
-                for i in range(0, len(rows), 64):
-                    part = rows[i : i + 64]
+                for i in range(0, len(rows), BATCH_ROWS):
+                    part = rows[i : i + BATCH_ROWS]
                     nothing = [pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())]
                     yield pa.RecordBatch.from_arrays([*nothing, _listed(part)], ["block", "filter", "runs"])
             at = _windows(found, n)
-            for i in range(0, len(at), grams):
-                held.append(_keys(found, at[i : i + grams], n, bits))
+            for i in range(0, len(at), step):
+                held.append(_keys(found, at[i : i + step], n, bits))
                 if sum(len(k[0]) for k in held) >= grams:
                     fold()
                 if sum(map(len, filters)) >= 2 * grams:
@@ -194,8 +196,8 @@ def _counted(runs: DataFrame, n: int, bits: int, block_bits: int, bitmap: Broadc
         if filters:
             yield from handed_on()
 
-    text_batches(runs.sparkSession)
-    return keep(runs.select("runs").mapInArrow(run, "block int, filter binary, runs array<long>"))
+    with _batches(runs.sparkSession, BATCH_ROWS):  # rows are wide, and how many a task has grows with the data
+        return keep(runs.select("runs").mapInArrow(run, "block int, filter binary, runs array<long>"))
 
 
 def _merged(counted: DataFrame, n: int, bits: int, block_bits: int, least: int) -> DataFrame:
@@ -233,7 +235,8 @@ def _merged(counted: DataFrame, n: int, bits: int, block_bits: int, least: int)
             yield from done()
 
     rows = counted.filter("filter is not null").select("block", "filter").repartition("block").sortWithinPartitions("block")
-    return keep(rows.mapInArrow(run, "gram array<long>, f long, block int, slots binary"))
+    with _batches(counted.sparkSession, BATCH_ROWS):
+        return keep(rows.mapInArrow(run, "gram array<long>, f long, block int, slots binary"))
 
 
 def _bitmap(merged: DataFrame, n: int, bits: int, block_bits: int) -> np.ndarray:

@@ -120,3 +120,38 @@ def test_stored_counters_are_compact():
     keys = quotient.permuted([rng.integers(0, 1000, 20_000, np.uint64) for _ in range(2)], [10, 10])
     made = quotient.Filter.of(keys, 20)
     assert len(made.encode(0)) < 2.5 * len(made)
+
+
+def test_a_task_of_many_words_needs_little_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Frame:  # hands out the worker's function and the settings it is to run with
+        def __init__(self):
+            self.sparkSession = self.conf = self
+            self.settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+            self.get, self.select = self.settings.get, lambda *names: self
+
+        def set(self, name, value):
+            self.settings[name] = value
+
+        def mapInArrow(self, run, schema):
+            return run, int(self.settings["spark.sql.execution.arrow.maxRecordsPerBatch"])
+
+    monkeypatch.setattr(collocations, "keep", lambda made: made)
+    rng, whole = np.random.default_rng(2), np.full(1 << 24, 255, np.uint8)
+    run, count = collocations._counted(Frame(), 5, 17, 10, type("Shared", (), {"value": whole}))
+
+    def batches(rows=190):
+        for at in range(0, rows, count):
+            runs = rng.integers(1, 100_000, (min(count, rows - at), collocations.RUN_ROW))
+            runs[:, ::12] = 0
+            yield pa.RecordBatch.from_arrays([collocations._listed(list(runs))], ["runs"])
+
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(batches()))
+        assert tracemalloc.get_traced_memory()[1] < 230 << 20
+    finally:
+        tracemalloc.stop()
