@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexitag.functions import text as tx
 from lexitag.operators.lasting import keep
-from lexitag.operators.lookup import fits_broadcast, lookup_join, salted_join
+from lexitag.operators.lookup import fits_broadcast, lookup_join, salted_join, sifted
 from lexitag.operators.words import tagged_words
 
 SEED = 16  # characters of a word that bring it to a token at most
@@ -93,16 +93,18 @@ def _containing(tokens: DataFrame, ngrams: DataFrame) -> DataFrame:
     seeded = keep(seeded)
     # Few seeds are those of words; the hashes of these are small enough to be looked up before any shuffle.
     known = seeded.select(F.xxhash64("seed").alias("hash")).distinct()
-    if fits_broadcast(known):
+    # With more seeds than that a sieve of a fixed size keeps places without a seed out of the shuffle.
+    few = fits_broadcast(known)
+    if few:
         placed = placed.withColumn("hash", F.xxhash64("s.seed")).join(F.broadcast(known), "hash", "left_semi").drop("hash")
-    met = lookup_join(placed.select("tid", "s.pos", "s.seed"), seeded, ["seed"], "inner", ["tid", "pos"])
+    met = lookup_join(placed.select("tid", "s.pos", "s.seed"), seeded, ["seed"], "inner", ["tid", "pos"], sift=not few)
     # Words as long as their seed are verified; the others are compared where they would lie.
     whole = F.length("Ngram") == F.length("seed")
     sure = met.where(whole).select("tid", "Ngram", "ngramTag")
     maybe = lookup_join(met.where(~whole), numbered.select("tid", "token"), ["tid"], "inner", ["pos"])
     checked = maybe.where(F.substring("token", F.col("pos"), F.length("Ngram")) == F.col("Ngram"))
     found = sure.unionByName(checked.select("tid", "Ngram", "ngramTag")).distinct()
-    return lookup_join(found, numbered.select("tid", "token"), ["tid"], "inner", ["Ngram"]).drop("tid")
+    return lookup_join(found, numbered, ["tid"], "inner", ["Ngram"]).drop("tid")
 
 
 def verified_ngrams(
@@ -117,14 +119,19 @@ def verified_ngrams(
     )
     tagged = words.groupBy("token", "_tag").agg(F.count(F.lit(1)).alias("_rows"))
     tagged = keep(tagged)
-    met = keep(_containing(tagged.select("token").distinct(), ngrams.select("Ngram", "ngramTag")))
-    fits = F.coalesce(F.contains(F.col("_tag"), F.col("ngramTag")), F.lit(False))
-    checked = salted_join(met, tagged, ["token"], "inner", ["Ngram"])
-    good = checked.groupBy("Ngram", "ngramTag").agg(F.bool_and(fits).alias("ok")).where("ok")
+    # Most tokens have one tag, which goes along with them; only the others meet all their tags in a join.
+    one = (F.min("_tag") == F.max("_tag")) & (F.count("_tag") == F.count(F.lit(1)))
+    tokens = tagged.groupBy("token").agg(F.when(one, F.min("_tag")).alias("_tag"))
+    met = keep(_containing(tokens, ngrams.select("Ngram", "ngramTag")))
+    fits = F.coalesce(F.contains(F.col("_tag"), F.col("ngramTag")), F.lit(False)).alias("fits")
+    several = salted_join(met.where("_tag is null").drop("_tag"), tagged, ["token"], "inner", ["Ngram"])
+    checked = met.where("_tag is not null").select("Ngram", "ngramTag", fits).unionByName(several.select("Ngram", "ngramTag", fits))
+    good = checked.groupBy("Ngram", "ngramTag").agg(F.bool_and("fits").alias("ok")).where("ok")
     good = keep(good.select("Ngram", "ngramTag"))
-    kept = lookup_join(met, good, ["Ngram", "ngramTag"], "inner", ["token"])
+    kept = keep(lookup_join(met.drop("_tag"), good, ["Ngram", "ngramTag"], "inner", ["token"]))
+    rows = sifted(words.select("entry", "token"), kept, ["token"])  # tokens with such a word, and few others
     return (
-        salted_join(words.select("entry", "token"), kept, ["token"], "inner", ["entry"])
+        salted_join(rows, kept, ["token"], "inner", ["entry"])
         .select(F.col("entry").alias(id_col), "Ngram", "ngramTag")
         .distinct()
     )

@@ -1,4 +1,4 @@
-from lexitag.operators import ngrams
+from lexitag.operators import lookup, ngrams
 
 
 def test_words_that_begin_alike_do_not_meet(spark, monkeypatch):
@@ -21,3 +21,27 @@ def test_words_that_begin_alike_do_not_meet(spark, monkeypatch):
     want = sorted((t, w) for t in texts for w in words if w in t)
     assert got == want
     assert met[0] < 2 * len(want) + 10
+
+
+def test_many_seeds_are_sifted_before_a_shuffle(spark, monkeypatch):
+    """With too many words to broadcast, places where none begins are left out before the join."""
+    dealt, join = [], lookup.salted_join
+
+    def counted(left, right, keys, *rest, **more):
+        if list(keys) == ["seed"]:
+            dealt.append(left.count())
+        return join(left, right, keys, *rest, **more)
+
+    for module in (ngrams, lookup):
+        monkeypatch.setattr(module, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(lookup, "salted_join", counted)
+    texts = [f"{a}{b}station{b}{a}" for a in "acfhk" for b in "mpqrz"] + [None]
+    words = [("station", "t"), ("mstation", "u"), ("nowhere", "t"), ("amstation", "t"), ("apstation", "t"), ("aqstation", "t"), ("ppstation", "t")]
+    rows = [(i, tag, f"{t} other" if t else t) for i, t in enumerate(texts) for tag in ("t", "tu", None)[: 1 + i % 3]]
+    learn = spark.createDataFrame(rows, "id long, Tag string, Text string").coalesce(2)
+    vocabulary = spark.createDataFrame(words, "Ngram string, ngramTag string").coalesce(1)
+    got = sorted(tuple(r) for r in ngrams.verified_ngrams(vocabulary, learn, "id").collect())
+    met = [(i, tag, w, t) for i, tag, text in rows if text for w, t in words if w in text]
+    bad = {(w, t) for _, tag, w, t in met if tag is None or t not in tag}
+    assert got == sorted({(i, w, t) for i, _, w, t in met if (w, t) not in bad}) and got
+    assert dealt and dealt[0] < 2 * len(met)
